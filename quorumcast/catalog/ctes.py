@@ -75,9 +75,8 @@ cte("challenges", "resources", """SELECT resource_id || '_' || strftime(target_d
   CAST(target_day AS TIMESTAMP) AS start_datetime, CAST(target_day AS TIMESTAMP) + INTERVAL 23 HOUR AS end_datetime
   FROM (SELECT *, CAST(unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30', INTERVAL 1 DAY)) AS DATE) AS target_day
         FROM resources)""")
-cte("sessions", "measurements_raw", """SELECT 's_' || strftime(target_day, '%Y-%m-%d') AS session_id, target_day,
-  CAST(target_day AS TIMESTAMP) - INTERVAL 810 MINUTE AS launch_time
-  FROM (SELECT DISTINCT CAST(datetime AS DATE) AS target_day FROM measurements_raw)""")
+cte("sessions", "challenges", """SELECT session_id, resource_id,
+  CAST(target_day AS TIMESTAMP) - INTERVAL 810 MINUTE AS launch_time FROM challenges""")
 _SUBS = """SELECT DISTINCT challenge_id || '_' || user_id || '_' || variable AS submission_id, resource_id, challenge_id,
   user_id, variable, CAST(datetime AS DATE) AS target_day, 'normal' AS submission_type FROM {}"""
 cte("submissions", "forecasts", _SUBS.format("forecasts"))

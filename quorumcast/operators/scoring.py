@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quorumcast.functions import metrics as M
-from quorumcast.functions.timegrid import day_start, elapsed_seconds, minutes_interval, to_zone
+from quorumcast.functions.timegrid import day_start, elapsed_seconds, minutes_interval, slot_start, to_zone
+from quorumcast.operators.grid import range_join
 
 SERIES = ("resource_id", "datetime")
 
@@ -85,3 +86,253 @@ def skill_scores(
         emit(both, "q90", "winkler", "winkler")
     scored = wide.groupBy(*keys).agg(*aggs)
     return scored.select(*keys, F.inline(F.filter(F.array(*rows), lambda r: r.isNotNull())))
+
+
+def observation_loss(variable: Column, observed: Column, forecast: Column) -> Column:
+    """Squared error for q50, pinball loss for any other quantile."""
+    return F.when(variable == "q50", M.squared_error_obs(observed, forecast)).otherwise(
+        M.pinball_obs(observed, forecast, M.quantile_level(variable))
+    )
+
+
+def loss_to_score(variable: Column, mean_loss: Column) -> Column:
+    """Root of the mean for q50, the mean itself otherwise; rounded."""
+    return M.stable_round(F.when(variable == "q50", F.sqrt(mean_loss)).otherwise(mean_loss))
+
+
+def series_losses(forecasts: DataFrame, measurements: DataFrame, chunk_minutes: int) -> DataFrame:
+    """Loss sums and counts per (resource, user, variable, chunk of time)."""
+    pairs = align(forecasts, measurements, "inner").filter(
+        F.col("observed").isNotNull() & F.col("forecast").isNotNull()
+    )
+    loss = observation_loss(F.col("variable"), F.col("observed"), F.col("forecast"))
+    chunk = slot_start(F.col("datetime"), chunk_minutes)
+    return pairs.groupBy("resource_id", "user_id", "variable", chunk.alias("datetime")).agg(
+        F.sum(loss).alias("loss"), F.count(F.lit(1)).alias("n")
+    )
+
+
+def _aligned_to(ts: Column, chunk_minutes: int) -> Column:
+    """Fail rather than score a window that cuts through a chunk."""
+    off = F.pmod(elapsed_seconds(day_start(ts), ts), F.lit(chunk_minutes * 60)) != 0
+    return F.when(off, F.raise_error(F.lit("a challenge start is not on a chunk edge")).cast("timestamp_ntz")).otherwise(ts)
+
+
+def recent_scores(forecasts: DataFrame, measurements: DataFrame, challenges: DataFrame,
+                  n_days: int = 6, chunk_minutes: int = 15, slot_minutes: int = 15) -> DataFrame:
+    """Score per (challenge, user, variable) over the ``n_days`` before its start.
+
+    With a ``launch_time`` in ``challenges`` the lookback ends at the last slot
+    known then.
+
+    Each slot's loss belongs to the lookback of several challenges.  Losses are
+    therefore summed per time chunk first and only the chunk sums are joined to
+    the challenges; a chunk of a day makes that join 24 to 96 times smaller.
+    ``chunk_minutes`` must divide every lookback edge (checked).
+    """
+    chunks = series_losses(forecasts, measurements, chunk_minutes)
+    start = _aligned_to(F.col("start_datetime"), chunk_minutes)
+    end = start
+    if "launch_time" in challenges.columns:
+        known = slot_start(F.col("launch_time"), slot_minutes) + minutes_interval(slot_minutes)
+        end = F.least(start, _aligned_to(known, chunk_minutes))
+    windows = challenges.select(
+        "challenge_id", "resource_id", (start - minutes_interval(n_days * 1440)).alias("_from"), end.alias("_end")
+    )
+    sums = range_join(chunks, windows, "_from", "_end", include_end=False).groupBy(
+        "resource_id", "challenge_id", "user_id", "variable"
+    ).agg(F.sum("loss").alias("loss"), F.sum("n").alias("n_samples"))
+    score = loss_to_score(F.col("variable"), F.col("loss") / F.col("n_samples"))
+    return sums.select("resource_id", "challenge_id", "user_id", "variable", score.alias("score"), "n_samples")
+
+
+def daily_scores(forecasts: DataFrame, measurements: DataFrame, resources: DataFrame) -> DataFrame:
+    """Mean observation loss per forecaster, variable and local calendar day."""
+    zones = resources.select("resource_id", "timezone")
+    rows = align(forecasts, measurements, "inner").join(zones, "resource_id")
+    day = F.to_date(to_zone(F.col("datetime"), F.col("timezone")))
+    loss = observation_loss(F.col("variable"), F.col("observed"), F.col("forecast"))
+    return rows.groupBy("resource_id", "user_id", "variable", day.alias("local_day")).agg(
+        M.stable_round(F.avg(loss), 6).alias("score")
+    )
+
+
+def assessment_report(forecasts: DataFrame, measurements: DataFrame, challenges: DataFrame, valid: DataFrame,
+                      n_days: int = 6, eval_days: int = 8, history_days: int = 31) -> DataFrame:
+    """Recent and past score of each eligible forecaster, missing forecasts counted as zero.
+
+    Recent: ``eval_days`` from ``n_days`` before the start.  Past: what lies before,
+    up to ``history_days`` before the start.  Starts must be at midnight (checked).
+
+    A missing forecast of zero has the loss of the observation alone, so per day
+    the loss of "all zero" plus each series' difference to it gives the imputed
+    sum without writing out a row per missing slot.
+    """
+    zero = F.lit(0.0)
+    observed = measurements.filter(F.col("value").isNotNull())
+    base = observed.select("resource_id", "datetime", F.col("value").alias("observed"))
+    levels = F.explode(F.array(*[F.lit(q) for q in M.QUANTILES]))
+    day = day_start(F.col("datetime"))
+    zero_loss = observation_loss(F.col("variable"), F.col("observed"), zero)
+    base_days = base.withColumn("variable", levels).groupBy("resource_id", "variable", day.alias("datetime")).agg(
+        F.sum(zero_loss).alias("loss"), F.count(F.lit(1)).alias("n")
+    )
+    gain = observation_loss(F.col("variable"), F.col("observed"), F.col("forecast")) - zero_loss
+    series_days = (
+        align(forecasts, observed, "inner").filter(F.col("forecast").isNotNull())
+        .groupBy("resource_id", "user_id", "variable", day.alias("datetime")).agg(F.sum(gain).alias("gain"))
+    )
+    start = _aligned_to(F.col("start_datetime"), 1440)
+    windows = challenges.select("challenge_id", "resource_id", start.alias("_start")).select(
+        "challenge_id", "resource_id",
+        (F.col("_start") - minutes_interval(history_days * 1440)).alias("_from"),
+        (F.col("_start") - minutes_interval(n_days * 1440)).alias("_recent"),
+        (F.col("_start") + minutes_interval((eval_days - n_days) * 1440)).alias("_to"),
+    )
+    recent = F.col("datetime") >= F.col("_recent")
+
+    def split(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+        aggs = [F.sum(F.when(cond, F.col(c))).alias(f"{name}_{c}")
+                for c in columns for name, cond in (("recent", recent), ("past", ~recent))]
+        return range_join(df, windows, "_from", "_to", include_end=False).groupBy(*keys).agg(*aggs)
+
+    base_sums = split(base_days, ["challenge_id", "resource_id", "variable"], ["loss", "n"])
+    series_sums = split(series_days, ["challenge_id", "user_id", "variable"], ["gain"])
+    # Forecasters to report: the eligible ones of the challenge, in every quantile.
+    asked = valid.select("challenge_id", "user_id").withColumn("variable", levels)
+    rows = asked.join(base_sums, ["challenge_id", "variable"]).join(
+        series_sums, ["challenge_id", "user_id", "variable"], "left"
+    )
+
+    def score(name: str) -> Column:
+        total = F.col(f"{name}_loss") + F.coalesce(F.col(f"{name}_gain"), zero)
+        # Differences of sums can end a rounding error below zero.
+        return loss_to_score(F.col("variable"), F.greatest(total / F.col(f"{name}_n"), zero))
+
+    return rows.select(
+        "resource_id", "challenge_id", "user_id", "variable",
+        F.when(F.col("recent_n") > 0, score("recent")).alias("recent_score"),
+        F.when(F.col("past_n") > 0, score("past")).alias("past_score"),
+        F.coalesce("recent_n", F.lit(0)).alias("n_recent_samples"),
+        F.coalesce("past_n", F.lit(0)).alias("n_past_samples"),
+    )
+
+
+def quantile_slice(forecasts: DataFrame, variable: str) -> DataFrame:
+    return forecasts.filter(F.col("variable") == variable)
+
+
+def five_numbers(value: str, digits: int = M.SCORE_DIGITS) -> list[Column]:
+    """min, q1, median, q3, max of a group as columns; for groups bounded by a challenge or a month."""
+    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    return [
+        M.stable_round(F.min(value), digits).alias("min"),
+        M.stable_round(q[0], digits).alias("q1"),
+        M.stable_round(q[1], digits).alias("median"),
+        M.stable_round(q[2], digits).alias("q3"),
+        M.stable_round(F.max(value), digits).alias("max"),
+    ]
+
+
+def mse_boxplot(forecasts: DataFrame, measurements: DataFrame,
+                keys: Sequence[str] = ("resource_id", "challenge_id", "user_id")) -> DataFrame:
+    """Five-number summary and size of the squared errors of q50."""
+    rows = align(quantile_slice(forecasts, "q50"), measurements, "inner")
+    err = rows.withColumn("_e", M.squared_error_obs(F.col("observed"), F.col("forecast"))).filter(F.col("_e").isNotNull())
+    return err.groupBy(*keys).agg(*five_numbers("_e"), F.count(F.lit(1)).alias("n_samples"))
+
+
+def winkler_boxplot(forecasts: DataFrame, measurements: DataFrame,
+                    keys: Sequence[str] = ("resource_id", "challenge_id", "user_id")) -> DataFrame:
+    """Five-number summary of interval scores and the values beyond 1.5 interquartile ranges.
+
+    The collected list holds at most one value per slot of the challenge.
+    """
+    wide = quantiles_wide(align(forecasts, measurements, "inner"), list(keys), ("q10", "q90"))
+    scored = wide.withColumn("_w", M.winkler_obs(F.col("q10"), F.col("q90"), F.col("observed"))).filter(F.col("_w").isNotNull())
+    q = F.percentile("_w", F.array(F.lit(0.25), F.lit(0.75)))
+    box = scored.groupBy(*keys).agg(*five_numbers("_w"), q.alias("_q"), F.sort_array(F.collect_list("_w")).alias("_all"))
+    spread = F.lit(1.5) * (F.col("_q")[1] - F.col("_q")[0])
+    outside = F.filter("_all", lambda x: (x < F.col("_q")[0] - spread) | (x > F.col("_q")[1] + spread))
+    return box.withColumn("outliers", outside).drop("_q", "_all")
+
+
+def evaluate_strategies(ensembles: DataFrame, measurements: DataFrame,
+                        keys: Sequence[str] = ("strategy",), quantiles: Sequence[str] = M.QUANTILES) -> DataFrame:
+    """One row per strategy and variable, plus an ``interval`` row with the interval score."""
+    keys = list(keys)
+    rows = align(ensembles, measurements, "inner").filter(F.col("observed").isNotNull())
+    o, f = F.col("observed"), F.col("forecast")
+    is_mid = F.col("variable") == "q50"
+    known = rows.filter(f.isNotNull())
+    level = M.quantile_level(F.col("variable"))
+    per_variable = known.groupBy(*keys, "variable").agg(
+        F.count(F.lit(1)).alias("n_observations"),
+        M.rmse(o, F.when(is_mid, f)).alias("rmse"),
+        M.mae(o, F.when(is_mid, f)).alias("mae"),
+        M.pinball(o, f, level).alias("pinball"),
+        F.lit(None).cast("double").alias("winkler"),
+    )
+    extra = [c for c in ("challenge_id",) if c in rows.columns]
+    wide = quantiles_wide(rows, [*keys, *[c for c in extra if c not in keys]], ("q10", "q90"))
+    w = M.winkler_obs(F.col("q10"), F.col("q90"), o)
+    none = F.lit(None).cast("double")
+    interval = wide.filter(F.col("q10").isNotNull() & F.col("q90").isNotNull()).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_observations"), M.stable_round(F.avg(w)).alias("winkler")
+    ).select(*keys, F.lit("interval").alias("variable"), "n_observations",
+             none.alias("rmse"), none.alias("mae"), none.alias("pinball"), "winkler")
+    return per_variable.unionByName(interval)
+
+
+def evaluation_summary(scores: DataFrame) -> DataFrame:
+    """Mean of each metric per strategy and variable."""
+    return scores.groupBy("strategy", "variable").agg(
+        *[M.stable_round(F.avg(m)).alias(m) for m in ("rmse", "mae", "pinball", "winkler")]
+    )
+
+
+def strategy_metrics_wide(ensembles: DataFrame, measurements: DataFrame, keys: Sequence[str] = ("strategy",)) -> DataFrame:
+    """One row per strategy with all metrics as columns."""
+    keys = list(keys)
+    extra = [c for c in ("resource_id", "challenge_id") if c in ensembles.columns and c not in keys]
+    wide = quantiles_wide(align(ensembles, measurements, "inner"), [*keys, *extra]).filter(F.col("observed").isNotNull())
+    o = F.col("observed")
+    return wide.groupBy(*keys).agg(
+        M.rmse(o, F.col("q50")).alias("rmse"), M.mae(o, F.col("q50")).alias("mae"),
+        *[M.pinball(o, F.col(q), M.quantile_level(F.lit(q))).alias(f"pinball_{q}") for q in M.QUANTILES],
+        M.winkler(F.col("q10"), F.col("q90"), o).alias("winkler"),
+    )
+
+
+def forecaster_scorecard(forecasts: DataFrame, measurements: DataFrame, ensembles: DataFrame | None = None,
+                         max_samples: int | None = None, keys: Sequence[str] = ("resource_id",)) -> DataFrame:
+    """Per forecaster and variable: samples, metrics, coverage, and the ensemble's q50 on the same slots.
+
+    A ``winkler`` row follows when both bounds exist.  ``ensembles`` holds one
+    strategy's forecasts.
+    """
+    keys = list(keys)
+    rows = align(forecasts, measurements, "inner").filter(F.col("observed").isNotNull() & F.col("forecast").isNotNull())
+    o, f, is_mid = F.col("observed"), F.col("forecast"), F.col("variable") == "q50"
+    if ensembles is not None:
+        e = ensembles.select("resource_id", "datetime", "variable", F.col("value").alias("ensemble"))
+        rows = rows.join(e.filter(F.col("variable") == "q50"), ["resource_id", "datetime", "variable"], "left")
+    else:
+        rows = rows.withColumn("ensemble", F.lit(None).cast("double"))
+    e = F.col("ensemble")
+    none = F.lit(None).cast("double")
+    per_variable = rows.groupBy(*keys, "user_id", "variable").agg(
+        F.count(F.lit(1)).alias("n_samples"),
+        M.rmse(o, F.when(is_mid, f)).alias("rmse"), M.mae(o, F.when(is_mid, f)).alias("mae"),
+        M.pinball(o, f, M.quantile_level(F.col("variable"))).alias("pinball"), none.alias("winkler"),
+        M.rmse(o, e).alias("ensemble_rmse"), M.mae(o, e).alias("ensemble_mae"),
+    )
+    extra = [c for c in ("challenge_id",) if c in rows.columns]
+    wide = quantiles_wide(rows, [*keys, "user_id", *extra], ("q10", "q90"))
+    both = wide.filter(F.col("q10").isNotNull() & F.col("q90").isNotNull())
+    interval = both.groupBy(*keys, "user_id").agg(
+        F.count(F.lit(1)).alias("n_samples"), M.winkler(F.col("q10"), F.col("q90"), o).alias("winkler")
+    ).select(*keys, "user_id", F.lit("winkler").alias("variable"), "n_samples", none.alias("rmse"), none.alias("mae"),
+             none.alias("pinball"), "winkler", none.alias("ensemble_rmse"), none.alias("ensemble_mae"))
+    coverage = F.round(F.col("n_samples") / max_samples * 100, 1) if max_samples else none
+    return per_variable.unionByName(interval).withColumn("coverage_pct", coverage)

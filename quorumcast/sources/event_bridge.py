@@ -78,7 +78,11 @@ class EventTables:
         )
 
     def _lagged(self, keep: Column) -> DataFrame:
-        m = self.measurements().withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(FORECASTERS))))
+        # Spread by slot before the rows multiply; a plan partitioned by resource
+        # alone would leave a hot resource in one task.
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        spread = self.measurements().repartition(parts, "resource_id", "datetime")
+        m = spread.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(FORECASTERS))))
         shifted = m.select(
             "resource_id", "k",
             F.concat(F.lit("f"), F.lpad(F.col("k").cast("string"), 2, "0")).alias("user_id"),
@@ -127,12 +131,11 @@ class EventTables:
         return rows.filter(~lost).select("user_id", "resource_id", "datetime", "variable", "value")
 
     def sessions(self) -> DataFrame:
-        """One session a day, launched 10:30 the day before; the list follows the data's days."""
-        days = self.measurements_raw().select(F.to_date("datetime").alias("target_day")).distinct()
-        return days.select(
-            F.concat(F.lit("s_"), F.date_format("target_day", "yyyy-MM-dd")).alias("session_id"),
-            "target_day",
-            (F.col("target_day").cast("timestamp_ntz") - minutes_interval(13 * 60 + 30)).alias("launch_time"),
+        """One session a day per resource, launched 10:30 the day before."""
+        days = F.sequence(F.lit(FIRST_SLOT).cast("date"), F.lit(LAST_DAY).cast("date"))
+        return self.resources().select("resource_id", F.explode(days).alias("day")).select(
+            F.concat(F.lit("s_"), F.date_format("day", "yyyy-MM-dd")).alias("session_id"), "resource_id",
+            (F.col("day").cast("timestamp_ntz") - minutes_interval(13 * 60 + 30)).alias("launch_time"),
         )
 
     def challenges(self) -> DataFrame:
