@@ -35,6 +35,8 @@ def query(sql: str | None = None, name: str | None = None):
 
 def _load() -> None:
     from quorumcast.catalog import (  # noqa: F401
+        feature_queries,
+        gate_queries,
         grid_queries,
         score_queries,
     )

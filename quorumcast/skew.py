@@ -20,7 +20,14 @@ BUCKETS = 512
 
 
 def _heavy_keys(df: DataFrame, keys: Sequence[str], heavy_rows: int) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > heavy_rows).select(*keys)
+    """Keys of groups with more than ``heavy_rows`` rows, to be broadcast.
+
+    There can be no more than rows / heavy_rows of them (a million rows per key by
+    default), whatever the data looks like; usually there are none, and adaptive
+    execution then drops the heavy path before it reads anything.
+    """
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return F.broadcast(counts.filter(F.col("_n") > heavy_rows).select(*keys))
 
 
 def _bucketed(distinct: DataFrame, keys: Sequence[str], value: str, buckets: int) -> DataFrame:
