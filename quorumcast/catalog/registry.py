@@ -35,9 +35,11 @@ def query(sql: str | None = None, name: str | None = None):
 
 def _load() -> None:
     from quorumcast.catalog import (  # noqa: F401
+        ensemble_queries,
         feature_queries,
         gate_queries,
         grid_queries,
+        kpi_queries,
         score_queries,
     )
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quorumcast.catalog import gate_queries  # noqa: F401  (defines shared SQL tables)
 from quorumcast.catalog.ctes import cte, rnd, with_ctes
 from quorumcast.catalog.registry import query
 from quorumcast.functions import metrics as M

@@ -11,8 +11,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from quorumcast.skew import HEAVY_ROWS, percentile_by
+from quorumcast.staging import stage
 
 BLOCK = ["challenge_id", "variable"]
 PROFILE = ["challenge_id", "variable", "user_id"]
@@ -37,8 +39,18 @@ def minmax_normalise(block: DataFrame) -> DataFrame:
     ).drop("lo", "hi", "n_forecasters")
 
 
+def with_bounds(block: DataFrame) -> DataFrame:
+    """The block with its bounds and number of forecasters on every row."""
+    if "n_forecasters" in block.columns:
+        return block
+    return block.join(block_bounds(block), BLOCK)
+
+
 def median_profile(block: DataFrame, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
-    return percentile_by(block, [*BLOCK, "datetime"], "value", {"median": 0.5}, heavy_rows)
+    """Median per slot.  A slot has at most one value per forecaster, so the number
+    of forecasters, when it is on the rows, bounds the group."""
+    size = "n_forecasters" if "n_forecasters" in block.columns else None
+    return percentile_by(block, [*BLOCK, "datetime"], "value", {"median": 0.5}, heavy_rows, size=size)
 
 
 def _dtw_same_shape(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -57,7 +69,7 @@ def _dtw_same_shape(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(best[n])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _dtw(profile: pd.Series, reference: pd.Series) -> pd.Series:
     lengths = profile.map(len)
     out = pd.Series(np.nan, index=profile.index)
@@ -68,42 +80,53 @@ def _dtw(profile: pd.Series, reference: pd.Series) -> pd.Series:
     return out
 
 
+SIDES = [*PROFILE, "lo", "hi", "n_forecasters"]
+
+
 def dtw_distance(block: DataFrame, reference: DataFrame) -> DataFrame:
     """Warping distance of every profile to the reference, scaled by the block's range.
 
     Scaling both by the same range divides the distance by it, so the range is
     applied to the result.  A list holds one challenge's slots, about a hundred.
     """
-    sides = block.filter(F.col("value").isNotNull()).join(reference, [*BLOCK, "datetime"])
-    lists = sides.groupBy(*PROFILE).agg(
-        F.array_sort(F.collect_list(F.struct("datetime", "value", "median"))).alias("_s")
-    )
-    raw = lists.select(*PROFILE, _dtw(F.col("_s.value"), F.col("_s.median")).alias("_d"))
-    return _scale(raw, block)
+    sides = with_bounds(block).filter(F.col("value").isNotNull()).join(reference, [*BLOCK, "datetime"])
+    lists = sides.groupBy(*SIDES).agg(F.array_sort(F.collect_list(F.struct("datetime", "value", "median"))).alias("_s"))
+    return _scale(lists.select(*SIDES, _dtw(F.col("_s.value"), F.col("_s.median")).alias("_d")))
 
 
 def euclidean_distance(block: DataFrame, reference: DataFrame) -> DataFrame:
     gap = F.col("value") - F.col("median")
-    raw = block.join(reference, [*BLOCK, "datetime"]).groupBy(*PROFILE).agg(F.sqrt(F.sum(gap * gap)).alias("_d"))
-    return _scale(raw, block)
+    sides = with_bounds(block).join(reference, [*BLOCK, "datetime"])
+    return _scale(sides.groupBy(*SIDES).agg(F.sqrt(F.sum(gap * gap)).alias("_d")))
 
 
-def _scale(raw: DataFrame, block: DataFrame) -> DataFrame:
-    bounds = block_bounds(block)
+def _scale(raw: DataFrame) -> DataFrame:
     span = F.col("hi") - F.col("lo")
-    return raw.join(bounds, BLOCK).select(
-        *PROFILE, "n_forecasters", F.when(span > 0, F.col("_d") / span).otherwise(F.lit(0.0)).alias("distance")
-    )
+    return raw.select(*PROFILE, "n_forecasters", F.when(span > 0, F.col("_d") / span).otherwise(F.lit(0.0)).alias("distance"))
 
 
 def mad_threshold(distances: DataFrame, alpha: float, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
     """median(d) + alpha * median(|d - median(d)|) per (challenge, variable)."""
-    mid = percentile_by(distances, BLOCK, "distance", {"median_distance": 0.5}, heavy_rows)
+    mid = percentile_by(distances, BLOCK, "distance", {"median_distance": 0.5}, heavy_rows, size="n_forecasters")
     dev = distances.join(mid, BLOCK).withColumn("_dev", F.abs(F.col("distance") - F.col("median_distance")))
-    mad = percentile_by(dev, BLOCK, "_dev", {"mad": 0.5}, heavy_rows)
+    mad = percentile_by(dev, BLOCK, "_dev", {"mad": 0.5}, heavy_rows, size="n_forecasters")
     return mid.join(mad, BLOCK).withColumn("threshold", F.col("median_distance") + F.lit(float(alpha)) * F.col("mad"))
 
 
+def profile_distances(block: DataFrame, min_forecasters: int = 4, distance: str = "dtw",
+                      heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+    """Distance of each profile of a block with enough forecasters, written once.
+
+    There is one row per profile and not per slot, and several later steps read
+    it; its ``n_forecasters`` statistics let them skip the heavy path's scan.
+    """
+    if distance not in ("dtw", "euclidean"):
+        raise ValueError(f"unknown distance: {distance}")
+    judged = with_bounds(block).filter((F.col("n_forecasters") >= min_forecasters) & (F.col("hi") > F.col("lo")))
+    measure = dtw_distance if distance == "dtw" else euclidean_distance
+    return stage(measure(judged, median_profile(judged, heavy_rows)), "profile-distances")
+
+
 def detect_outliers(block: DataFrame, alpha: float = 20.0, min_forecasters: int = 4, distance: str = "dtw",
                     heavy_rows: int = HEAVY_ROWS) -> DataFrame:
     """(challenge_id, variable, user_id) of outlying profiles.
@@ -111,14 +134,6 @@ def detect_outliers(block: DataFrame, alpha: float = 20.0, min_forecasters: int
     Blocks with fewer than ``min_forecasters`` have none and are dropped before
     any list is built.
     """
-    if distance not in ("dtw", "euclidean"):
-        raise ValueError(f"unknown distance: {distance}")
-    big_enough = block_bounds(block).filter(
-        (F.col("n_forecasters") >= min_forecasters) & (F.col("hi") > F.col("lo"))
-    )
-    judged = block.join(big_enough.select(*BLOCK), BLOCK, "left_semi")
-    reference = median_profile(judged, heavy_rows)
-    measure = dtw_distance if distance == "dtw" else euclidean_distance
-    distances = measure(judged, reference)
-    limits = mad_threshold(distances, alpha, heavy_rows)
+    distances = profile_distances(block, min_forecasters, distance, heavy_rows)
+    limits = mad_threshold(distances, alpha, heavy_rows).select(*BLOCK, "threshold")
     return distances.join(limits, BLOCK).filter(F.col("distance") > F.col("threshold")).select(*PROFILE)

@@ -39,6 +39,14 @@ def _bucketed(distinct: DataFrame, keys: Sequence[str], value: str, buckets: int
     return joined.withColumn("_bucket", F.size(below)).drop("_splits")
 
 
+def _split(rows: DataFrame, keys: list[str], heavy_rows: int, size: str | None) -> tuple[DataFrame, DataFrame]:
+    """Rows of ordinary and of heavy groups."""
+    if size is not None:
+        return rows.filter(F.col(size) <= heavy_rows), rows.filter(F.col(size) > heavy_rows)
+    heavy = _heavy_keys(rows, keys, heavy_rows)
+    return rows.join(heavy, keys, "left_anti"), rows.join(heavy, keys, "left_semi")
+
+
 def percentile_by(
     df: DataFrame,
     keys: Sequence[str],
@@ -46,21 +54,20 @@ def percentile_by(
     outputs: dict[str, float],
     heavy_rows: int = HEAVY_ROWS,
     buckets: int = BUCKETS,
+    size: str | None = None,
 ) -> DataFrame:
     """Exact linear-interpolation percentiles of ``value`` per group.
 
     ``outputs`` maps the output column to its probability.  NULLs are skipped; a
-    group with only NULLs has no row.
+    group with only NULLs has no row.  ``size`` names a column that already holds
+    an upper bound of the group's rows and saves counting them.
     """
     keys = list(keys)
-    rows = df.select(*keys, value).filter(F.col(value).isNotNull())
-    heavy = _heavy_keys(rows, keys, heavy_rows)
-    light = (
-        rows.join(heavy, keys, "left_anti")
-        .groupBy(*keys)
-        .agg(*[F.percentile(value, F.lit(float(p))).alias(name) for name, p in outputs.items()])
-    )
-    return light.unionByName(_heavy_percentiles(rows.join(heavy, keys, "left_semi"), keys, value, outputs, buckets))
+    columns = keys + [value] + ([size] if size else [])
+    rows = df.select(*columns).filter(F.col(value).isNotNull())
+    light, heavy = _split(rows, keys, heavy_rows, size)
+    aggs = [F.percentile(value, F.lit(float(p))).alias(name) for name, p in outputs.items()]
+    return light.groupBy(*keys).agg(*aggs).unionByName(_heavy_percentiles(heavy, keys, value, outputs, buckets))
 
 
 def _heavy_percentiles(rows: DataFrame, keys: list[str], value: str,
@@ -102,11 +109,10 @@ def dense_rank_by(
     """Dense rank of ``value`` (ascending, NULLs left unranked) per group."""
     keys = list(keys)
     rows = df.filter(F.col(value).isNotNull())
-    heavy = _heavy_keys(rows, keys, heavy_rows)
+    light, big = _split(rows, keys, heavy_rows, None)
     window = Window.partitionBy(*keys).orderBy(value)
-    light = rows.join(heavy, keys, "left_anti").withColumn(out, F.dense_rank().over(window).cast("bigint"))
+    light = light.withColumn(out, F.dense_rank().over(window).cast("bigint"))
 
-    big = rows.join(heavy, keys, "left_semi")
     bucketed = _bucketed(big.select(*keys, value).distinct(), keys, value, buckets)
     sizes = bucketed.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_bc"))
     offsets = sizes.select(
