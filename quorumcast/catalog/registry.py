@@ -40,7 +40,9 @@ def _load() -> None:
         gate_queries,
         grid_queries,
         kpi_queries,
+        plan_queries,
         score_queries,
+        source_queries,
     )
 
 
