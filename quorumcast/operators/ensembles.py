@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quorumcast.skew import HEAVY_ROWS, percentile_by
+from quorumcast.staging import stage
 
 GROUP = ["resource_id", "challenge_id", "variable"]
 SLOT = [*GROUP, "datetime"]
@@ -78,9 +79,10 @@ def exponential_weights(block: DataFrame, scores: DataFrame, beta: float = 0.001
 
     Scores are taken relative to the best one, which leaves the ratios unchanged
     and cannot underflow for all forecasters at once; with no known score the
-    weights are equal.
+    weights are equal.  The table of one row per forecaster is written once, as
+    the lookback behind it would otherwise be scored again for each reader.
     """
-    known = _with_scores(block, scores).withColumn("score", F.coalesce("score", F.lit(float(default_score))))
+    known = stage(_with_scores(block, scores).withColumn("score", F.coalesce("score", F.lit(float(default_score)))), "known-scores")
     best = known.groupBy(*GROUP).agg(F.min("score").alias("_best"))
     raw = known.join(best, GROUP).select(*MEMBER, F.exp(F.lit(-float(beta)) * (F.col("score") - F.col("_best"))).alias("_w"))
     total = raw.groupBy(*GROUP).agg(F.sum("_w").alias("_total"))
@@ -93,7 +95,7 @@ def score_normalised_weights(block: DataFrame, scores: DataFrame, beta: float =
     Unlike ``exponential_weights`` a scored forecaster missing from the block still
     takes its share, so the weights may sum to less than one.
     """
-    s = scores.filter(F.col("score").isNotNull())
+    s = stage(scores.filter(F.col("score").isNotNull()).select(*MEMBER, "score"), "known-scores")
     best = s.groupBy(*GROUP).agg(F.min("score").alias("_best"))
     raw = s.join(best, GROUP).select(*MEMBER, F.exp(F.lit(-float(beta)) * (F.col("score") - F.col("_best"))).alias("_w"))
     total = raw.groupBy(*GROUP).agg(F.sum("_w").alias("_total"))

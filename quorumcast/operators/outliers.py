@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -39,13 +39,6 @@ def minmax_normalise(block: DataFrame) -> DataFrame:
     ).drop("lo", "hi", "n_forecasters")
 
 
-def with_bounds(block: DataFrame) -> DataFrame:
-    """The block with its bounds and number of forecasters on every row."""
-    if "n_forecasters" in block.columns:
-        return block
-    return block.join(block_bounds(block), BLOCK)
-
-
 def median_profile(block: DataFrame, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
     """Median per slot.  A slot has at most one value per forecaster, so the number
     of forecasters, when it is on the rows, bounds the group."""
@@ -80,7 +73,12 @@ def _dtw(profile: pd.Series, reference: pd.Series) -> pd.Series:
     return out
 
 
-SIDES = [*PROFILE, "lo", "hi", "n_forecasters"]
+def _sides(block: DataFrame, reference: DataFrame) -> DataFrame:
+    return block.filter(F.col("value").isNotNull()).join(reference, [*BLOCK, "datetime"])
+
+
+def _extent() -> list[Column]:
+    return [F.min("value").alias("_lo"), F.max("value").alias("_hi")]
 
 
 def dtw_distance(block: DataFrame, reference: DataFrame) -> DataFrame:
@@ -89,20 +87,29 @@ def dtw_distance(block: DataFrame, reference: DataFrame) -> DataFrame:
     Scaling both by the same range divides the distance by it, so the range is
     applied to the result.  A list holds one challenge's slots, about a hundred.
     """
-    sides = with_bounds(block).filter(F.col("value").isNotNull()).join(reference, [*BLOCK, "datetime"])
-    lists = sides.groupBy(*SIDES).agg(F.array_sort(F.collect_list(F.struct("datetime", "value", "median"))).alias("_s"))
-    return _scale(lists.select(*SIDES, _dtw(F.col("_s.value"), F.col("_s.median")).alias("_d")))
+    lists = _sides(block, reference).groupBy(*PROFILE).agg(
+        F.array_sort(F.collect_list(F.struct("datetime", "value", "median"))).alias("_s"), *_extent()
+    )
+    return _scale(lists.select(*PROFILE, _dtw(F.col("_s.value"), F.col("_s.median")).alias("_d"), "_lo", "_hi"))
 
 
 def euclidean_distance(block: DataFrame, reference: DataFrame) -> DataFrame:
     gap = F.col("value") - F.col("median")
-    sides = with_bounds(block).join(reference, [*BLOCK, "datetime"])
-    return _scale(sides.groupBy(*SIDES).agg(F.sqrt(F.sum(gap * gap)).alias("_d")))
+    return _scale(_sides(block, reference).groupBy(*PROFILE).agg(F.sqrt(F.sum(gap * gap)).alias("_d"), *_extent()))
 
 
 def _scale(raw: DataFrame) -> DataFrame:
-    span = F.col("hi") - F.col("lo")
-    return raw.select(*PROFILE, "n_forecasters", F.when(span > 0, F.col("_d") / span).otherwise(F.lit(0.0)).alias("distance"))
+    """Divide by the range of the block, which follows from the profiles' own extents.
+
+    The unscaled distances are written once: there is one row per profile and not
+    per slot, and the median behind them is not worked out again for the range.
+    """
+    raw = stage(raw, "profile-distances")
+    bounds = raw.groupBy(*BLOCK).agg(
+        (F.max("_hi") - F.min("_lo")).alias("_span"), F.count(F.lit(1)).alias("n_forecasters")
+    )
+    distance = F.when(F.col("_span") > 0, F.col("_d") / F.col("_span")).otherwise(F.lit(0.0))
+    return raw.join(bounds, BLOCK).select(*PROFILE, "n_forecasters", distance.alias("distance"))
 
 
 def mad_threshold(distances: DataFrame, alpha: float, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
@@ -115,24 +122,24 @@ def mad_threshold(distances: DataFrame, alpha: float, heavy_rows: int = HEAVY_RO
 
 def profile_distances(block: DataFrame, min_forecasters: int = 4, distance: str = "dtw",
                       heavy_rows: int = HEAVY_ROWS) -> DataFrame:
-    """Distance of each profile of a block with enough forecasters, written once.
+    """Distance of each profile of a block with enough forecasters, written once for its several readers.
 
-    There is one row per profile and not per slot, and several later steps read
-    it; its ``n_forecasters`` statistics let them skip the heavy path's scan.
+    Blocks with too few forecasters are small and dropped at the end, which saves
+    counting them beforehand.  The ``n_forecasters`` statistics of the written
+    table let readers skip the heavy path's scan.
     """
     if distance not in ("dtw", "euclidean"):
         raise ValueError(f"unknown distance: {distance}")
-    judged = with_bounds(block).filter((F.col("n_forecasters") >= min_forecasters) & (F.col("hi") > F.col("lo")))
     measure = dtw_distance if distance == "dtw" else euclidean_distance
-    return stage(measure(judged, median_profile(judged, heavy_rows)), "profile-distances")
+    found = measure(block, median_profile(block, heavy_rows))
+    return stage(found.filter(F.col("n_forecasters") >= min_forecasters), "block-distances")
 
 
 def detect_outliers(block: DataFrame, alpha: float = 20.0, min_forecasters: int = 4, distance: str = "dtw",
                     heavy_rows: int = HEAVY_ROWS) -> DataFrame:
     """(challenge_id, variable, user_id) of outlying profiles.
 
-    Blocks with fewer than ``min_forecasters`` have none and are dropped before
-    any list is built.
+    Blocks with fewer than ``min_forecasters``, and constant ones, have none.
     """
     distances = profile_distances(block, min_forecasters, distance, heavy_rows)
     limits = mad_threshold(distances, alpha, heavy_rows).select(*BLOCK, "threshold")
