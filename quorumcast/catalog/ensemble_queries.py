@@ -10,7 +10,7 @@ from quorumcast.catalog.registry import query
 from quorumcast.functions.metrics import stable_round
 from quorumcast.operators import ensembles as ens
 from quorumcast.operators import outliers as out
-from quorumcast.operators import scoring
+from quorumcast.operators import scoring, stacking
 from quorumcast.plans import strategies as st
 
 ALPHA = 3.0
@@ -318,3 +318,11 @@ def assigned_strategies(t):
 @query(with_ctes("resolved", "SELECT * FROM resolved"))
 def resolve_strategies(t):
     return assigned_strategies(t)
+
+
+@query()
+def ridge_stacking(t):
+    """Fifteen steps, one per forecaster, solve the system; compared with a direct solution in the tests."""
+    f = t.forecasts()
+    coefficients = stacking.ridge_coefficients(f, t.measurements(), steps=15)
+    return rounded(stacking.ridge_predict(f, coefficients), 4)

@@ -24,6 +24,11 @@ def slot_start(ts: Column, minutes: int) -> Column:
     """Left edge of the slot holding ``ts``; slots are counted from midnight."""
     if DAY_MINUTES % minutes:
         raise ValueError("the slot length must divide a day")
+    if minutes == DAY_MINUTES:
+        return day_start(ts)
+    if minutes % 60 == 0:
+        hour = F.hour(ts) if minutes == 60 else (F.hour(ts) - F.hour(ts) % (minutes // 60)).cast("int")
+        return day_start(ts) + F.make_dt_interval(F.lit(0), hour)
     minute_of_day = F.hour(ts) * 60 + F.minute(ts)
     floored = (minute_of_day - minute_of_day % minutes).cast("int")
     return day_start(ts) + F.make_dt_interval(F.lit(0), F.lit(0), floored)

@@ -28,7 +28,7 @@ def ntz(text: str) -> Column:
 
 
 def challenge_key(resource: Column, day: Column) -> Column:
-    return F.concat_ws("_", resource, F.date_format(day, "yyyy-MM-dd"))
+    return F.concat_ws("_", resource, F.to_date(day).cast("string"))
 
 
 class EventTables:

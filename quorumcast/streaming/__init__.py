@@ -1,0 +1 @@
+"""All runs are batch jobs over stored tables; there is no stream source to read yet."""
