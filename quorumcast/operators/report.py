@@ -11,6 +11,7 @@ from quorumcast.functions import metrics as M
 from quorumcast.operators import gates, kpi
 from quorumcast.operators.kpi import BOARD, PLAYER
 from quorumcast.skew import HEAVY_ROWS
+from quorumcast.staging import stage
 
 Keep = Callable[[DataFrame, str], DataFrame]
 
@@ -70,15 +71,14 @@ def monthly_report(
     measurements: DataFrame,
     participation: DataFrame,
     excluded_days: Iterable[str] = (),
-    keep: Keep | None = None,
+    keep: Keep = stage,
     heavy_rows: int = HEAVY_ROWS,
 ) -> DataFrame:
     """All resources, tracks and months in one job.
 
-    ``keep(df, name)`` may write a result that several branches read (see
-    ``quorumcast.staging.stage``); without it the branches recompute it.
+    ``keep(df, name)`` holds a result that several branches read, by default by
+    writing it once; branches that recompute it would multiply the work.
     """
-    keep = keep or (lambda df, name: df)
     clean = gates.drop_partial_submissions(scores, submissions)
     clean = gates.drop_fixed_payment(gates.drop_dates(clean, excluded_days), participation)
     tracked = keep(kpi.track_scores(clean), "track_scores")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quorumcast.functions.timegrid import day_start, elapsed_seconds, minutes_interval
 from quorumcast.operators.grid import make_challenges, range_join
 from quorumcast.plans.session import SessionRun, session_forecast
+from quorumcast.staging import stage
 
 LAUNCH_MINUTE = 10 * 60 + 30
 MIN_HISTORY_DAYS = 8
@@ -82,7 +83,7 @@ def assign_challenges(forecasts: DataFrame, challenges: DataFrame) -> DataFrame:
 def walk_forward_backtest(forecasts: DataFrame, measurements: DataFrame, resources: DataFrame, sessions: DataFrame,
                           strategies: Sequence[str], slot_minutes: int = 15, chunk_minutes: int = 15, n_score_days: int = 6,
                           params: dict[str, dict] | None = None,
-                          keep: Callable[[DataFrame, str], DataFrame] | None = None) -> tuple[DataFrame, SessionRun]:
+                          keep: Callable[[DataFrame, str], DataFrame] = stage) -> tuple[DataFrame, SessionRun]:
     """Run every session of the schedule in one job; returns the challenges and the run.
 
     The lookback of a session ends at its launch, so later measurements stay unseen.
