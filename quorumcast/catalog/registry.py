@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quorumcast.shipping import ship
 from quorumcast.sources.event_bridge import EventTables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +22,7 @@ def query(sql: str | None = None, name: str | None = None):
         key = name or fn.__name__
 
         def run(spark: SparkSession, folder: str) -> DataFrame:
+            ship(spark)
             return fn(EventTables(spark, folder))
 
         if key in _QUERIES:
