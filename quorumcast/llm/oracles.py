@@ -67,3 +67,21 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM docs LEFT JOIN covered USING (r) LEFT JOIN named USING (r)
 """
+
+SQL["op2_block_anchors"] = r"""
+WITH docs AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (SELECT doc_id, r, unnest(range(1, len(w) - 11)) AS i FROM docs WHERE len(w) >= 13),
+windows AS (SELECT starts.doc_id, starts.r, i, md5(array_to_string(w[i:i + 12], ' ')) AS p FROM starts JOIN docs USING (r)),
+firsts AS (SELECT p, min(doc_id) AS least FROM windows GROUP BY p),
+covered AS (
+  SELECT DISTINCT r, unnest(range(i, i + 13)) AS j FROM windows JOIN firsts USING (p) WHERE least < doc_id),
+gone AS (SELECT r, list(j) AS js, count(*) AS n FROM covered GROUP BY r),
+words AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM docs),
+kept AS (
+  SELECT words.r, string_agg(word, ' ' ORDER BY words.j) AS body
+  FROM words LEFT JOIN covered ON covered.r = words.r AND covered.j = words.j
+  WHERE covered.j IS NULL GROUP BY words.r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(body, '')) AS kept_sha256
+FROM docs LEFT JOIN gone USING (r) LEFT JOIN kept USING (r)
+"""
