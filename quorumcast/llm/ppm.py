@@ -1,21 +1,21 @@
 """Language-model scoring by prediction by partial matching over bytes.
 
-The model is a trie of byte contexts of up to four bytes, with the counts of the
-bytes that followed them in the training documents.  A byte is predicted in the
+A text is its token sequence: words in lower case (A-Z), each with a space, and an
+end.  The model is a trie of byte contexts of up to ``ORDER`` bytes, with the counts of
+the bytes that followed them in the training documents.  A byte is predicted in the
 longest context in which it has been seen; from each longer known context the model
-escapes first.  Escape estimation is method C (distinct followers against their
-number), and after an escape the followers of the longer context are excluded.
-Unseen bytes share what is left at the end.  The sum of log10 probabilities is
+escapes first.  Escape estimation is method D (half a count of every distinct
+follower goes to the escape), and after an escape the followers of the longer context
+are excluded.  Unseen bytes share what is left at the end.  The sum of log10 probabilities is
 the document's score, its code length in another unit.
 
 The trie is never gathered.  It is dealt over buckets by the last two bytes of
 the context, which keeps every context with all its suffixes of two bytes and more; the
 nodes of one and no byte, at most 65,792 counts, go to all buckets.  Units of
-documents ask for the distinct five-byte strings they hold and get each one's
+documents ask for the distinct strings of context and byte they hold and get each one's
 log10 probability.  Word counts for the baseline travel in the same way.
 
-Defined cases: NULL counts as empty; an empty text has one token (the end) and
-score 0; with no training documents every byte has probability 1/256; a byte at the
+Defined cases: NULL counts as empty; an empty text has one token, the end; with no training documents every byte has probability 1/256; a byte at the
 start of a text sees zero bytes before it; empty tables give empty results.  Only the
 named columns are read.
 """
@@ -30,15 +30,38 @@ from pyspark.sql import functions as F
 from quorumcast.llm import text_arrays as ta
 from quorumcast.llm import units
 
-ORDER = 4
+ORDER = 5
+END = 10
 _SPREAD = 40503  # odd, so that multiplying modulo 2**16 is one-to-one
 _PIECE = 1 << 20
 RESULT = ("doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
+def normalised(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The token sequences as bytes: each word in lower case and a space, then a line
+    feed as the end."""
+    n, rows = len(data), len(offsets) - 1
+    lower = ta.LOWER[data]
+    starts, ends, words = ta.words(lower, offsets, ta.PLAIN)
+    # Two bytes to spare after each text, for the last space and the end.
+    wide = offsets + 2 * np.arange(rows + 1)
+    out = np.full(n + 2 * rows, 32, np.uint8)
+    change = np.zeros(len(out) + 2, np.int8)
+    shift = 2 * ta.row_of(words)
+    change[starts + shift] += 1
+    change[ends + shift + 1] -= 1
+    inside = np.ones(len(out), bool)
+    inside[wide[1:] - 1] = inside[wide[1:] - 2] = False
+    out[inside] = np.where(ta.PLAIN[lower], lower, 32)
+    keep = np.cumsum(change[:len(out)], dtype=np.int8) > 0
+    out[wide[1:] - 1] = END
+    keep[wide[1:] - 1] = True
+    return out[keep], np.concatenate([[0], np.cumsum(keep)[wide[1:] - 1]])
+
+
 def grams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """For every byte of the texts the key of it and its context: the last two bytes of
-    the context (spread, so that key ranges are even), the two before, the byte."""
+    the context (spread, so that key ranges are even), the older ones, the byte."""
     n = len(data)
     place = np.arange(n) - np.repeat(offsets[:-1], np.diff(offsets))
     back = []
@@ -47,9 +70,19 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         b[k:] = data[:-k] if n > k else 0
         b[place < k] = 0
         back.append(b)
-    near = (back[1] << np.uint64(8)) | back[0]
-    near = (near * np.uint64(_SPREAD)) & np.uint64(0xFFFF)
-    return (near << np.uint64(24)) | (back[2] << np.uint64(16)) | (back[3] << np.uint64(8)) | data.astype(np.uint64)
+    key = ((back[1] << np.uint64(8) | back[0]) * np.uint64(_SPREAD)) & np.uint64(0xFFFF)
+    for b in back[2:]:
+        key = key << np.uint64(8) | b
+    return key << np.uint64(8) | data
+
+
+def _natural(keys: np.ndarray) -> np.ndarray:
+    """Oldest context byte first, the predicted byte last."""
+    near = ((keys >> np.uint64(8 * (ORDER - 1))) * np.uint64(pow(_SPREAD, -1, 1 << 16))) & np.uint64(0xFFFF)
+    out = near << np.uint64(8) | (keys & np.uint64(0xFF))
+    for k in range(3, ORDER + 1):
+        out |= (keys >> np.uint64(8 * (ORDER - k + 1)) & np.uint64(0xFF)) << np.uint64(8 * k)
+    return out
 
 
 class _Level:
@@ -85,13 +118,6 @@ def _shorter(keys: np.ndarray, order: int) -> np.ndarray:
     return keys & np.uint64((1 << (8 * order)) - 1)
 
 
-def _natural(keys: np.ndarray) -> np.ndarray:
-    """Oldest context byte first, the predicted byte last."""
-    near = ((keys >> np.uint64(24)) * np.uint64(pow(_SPREAD, -1, 1 << 16))) & np.uint64(0xFFFF)
-    return ((keys >> np.uint64(8) & np.uint64(0xFF)) << np.uint64(32)) | ((keys >> np.uint64(16) & np.uint64(0xFF)) << np.uint64(24)) \
-        | (near << np.uint64(8)) | (keys & np.uint64(0xFF))
-
-
 def _level(keys: np.ndarray, counts: np.ndarray) -> _Level:
     u, back = np.unique(keys, return_inverse=True)
     return _Level(u, np.bincount(back, counts, len(u)).astype(np.int64))
@@ -125,9 +151,9 @@ def log_probabilities(asked: np.ndarray, keys: np.ndarray, counts: np.ndarray, p
         distinct = np.where(known, level.distinct[c] if len(level.distinct) else 0, 0) - gone_distinct
         seen = level.find(key)
         hit = seen > 0
-        out[left[hit]] += np.log10(seen[hit] / (total[hit] + distinct[hit]))
+        out[left[hit]] += np.log10((seen[hit] - 0.5) / total[hit])
         escape = ~hit & (distinct > 0)
-        out[left[escape]] += np.log10(distinct[escape] / (total[escape] + distinct[escape]))
+        out[left[escape]] += np.log10(0.5 * distinct[escape] / total[escape])
         rest = ~hit
         left, c, known = left[rest], c[rest], known[rest]
         if k == 0:
@@ -155,10 +181,9 @@ class _Unit:
     def __init__(self, table: pa.Table):
         self.ids = table.column("id")
         self.train = table.column("train").to_numpy()
-        self.data, self.offsets = ta.flat(table.column("text"))
-        lower = ta.LOWER[self.data]
-        starts, ends, self.rows = ta.words(lower, self.offsets, ta.PLAIN)
-        self.hashes = ta.word_hashes(lower, starts, ends)
+        self.data, self.offsets = normalised(*ta.flat(table.column("text")))
+        starts, ends, self.rows = ta.words(self.data, self.offsets, ta.PLAIN)
+        self.hashes = ta.word_hashes(self.data, starts, ends)
         self.word_train = np.repeat(self.train, np.diff(self.rows))
         self.byte_train = np.repeat(self.train, np.diff(self.offsets))
 
@@ -187,11 +212,10 @@ def pair_counts(docs: DataFrame, train: Column, text: str = "text") -> np.ndarra
         total = np.zeros(65536, np.int64)
         for batch in batches:
             for _, data, offsets in ta.slices(batch, "text"):
-                if len(data) == 0:
-                    continue
+                data, offsets = normalised(data, offsets)
                 before = np.zeros(len(data), np.int64)
                 before[1:] = data[:-1]
-                before[offsets[:-1][offsets[:-1] < len(data)]] = 0
+                before[offsets[:-1]] = 0
                 total += np.bincount(before * 256 + data, minlength=65536)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["pair", "n"])
@@ -212,7 +236,7 @@ def score(docs: DataFrame, train: Column, id_column: str = "doc_id", text: str =
     bits, buckets = layout.bits, layout.buckets
     pairs = pair_counts(docs, train, text)
     rows = units.by_unit(docs.withColumns({id_column: docs[id_column].cast("bigint"), "train": train}), layout, id_column, text, "train")
-    shift = 40 - bits
+    shift = 8 * (ORDER + 1) - bits
 
     def first(table):
         u = _Unit(table)
