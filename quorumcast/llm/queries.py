@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorumcast.llm import block_anchors, langid, mixing, positional_index, ppm, sharding, simhash_links
+from quorumcast.llm import block_anchors, langid, mixing, positional_index, ppm, sharding, simhash_links, suffix_dedup
 from quorumcast.shipping import ship
 from quorumcast.staging import stage
 
@@ -45,6 +45,10 @@ def held_out(fold: int, folds: int):
     return F.coalesce(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % folds == fold, F.lit(False))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(table(spark, sf_dir, "documents"), ~held_out(2, 7))
 
@@ -73,7 +77,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    named = [op1_sharding, op2_block_anchors, op5_ppm, op6_positional_index, op8_language_id, op9_mixing, op10_simhash, pipeline]
+    named = [op1_sharding, op2_block_anchors, op3_suffix_dedup, op5_ppm, op6_positional_index, op8_language_id, op9_mixing, op10_simhash, pipeline]
     return {f.__name__: f for f in named}
 
 
