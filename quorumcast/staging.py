@@ -30,15 +30,15 @@ def staging_path(spark: SparkSession, name: str) -> str:
     return f"{staging_root(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` once as parquet and return a reader of it.
+def stage(df: DataFrame, name: str, partition_by: list[str] | None = None, **options: str) -> DataFrame:
+    """Write ``df`` once as parquet and return a reader of it.  ``options`` go to the writer.
 
     Cuts the lineage, survives the loss of executors, and gives every later
     reader column pruning and size statistics.
     """
     spark = df.sparkSession
     path = staging_path(spark, name)
-    writer = df.write.mode("errorifexists")
+    writer = df.write.mode("errorifexists").options(**options)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
