@@ -85,3 +85,29 @@ kept AS (
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(body, '')) AS kept_sha256
 FROM docs LEFT JOIN gone USING (r) LEFT JOIN kept USING (r)
 """
+
+SQL["op7_boilerplate"] = r"""
+WITH pages_text AS (
+  SELECT page_id, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '') AS host,
+         regexp_replace(regexp_replace(regexp_replace(html,
+           '(?is)<(?:script|style|title)\b.*?</(?:script|style|title)\s*>|<!--.*?-->', '', 'g'),
+           '(?i)</?(?:p|div|li|ul|ol|nav|article|section|footer|header|main|h[1-6]|br|tr|td|th|table|body|head|html)\b[^>]*>', chr(10), 'g'),
+           '<[^>]*>', '', 'g') AS text
+  FROM pages),
+split AS (
+  SELECT row_number() OVER () AS r, page_id, host,
+         list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS own
+  FROM pages_text),
+seen AS (SELECT r, coalesce(host, '') AS site, unnest(list_distinct(own)) AS line FROM split),
+sites AS (SELECT coalesce(host, '') AS site, count(*) AS held FROM split GROUP BY 1),
+common AS (
+  SELECT site, line FROM (SELECT site, line, count(*) AS n FROM seen GROUP BY site, line) JOIN sites USING (site)
+  WHERE n >= 3 AND n > 0.2::DOUBLE * held),
+lines AS (SELECT r, site, line, i FROM (
+  SELECT r, coalesce(host, '') AS site, unnest(own) AS line, unnest(range(1, len(own) + 1)) AS i FROM split)),
+kept AS (
+  SELECT r, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS body
+  FROM lines ANTI JOIN common USING (site, line) GROUP BY r)
+SELECT page_id, host, len(own)::BIGINT AS n_lines, (len(own) - coalesce(n, 0))::BIGINT AS n_dropped, sha256(coalesce(body, '')) AS kept_sha256
+FROM split LEFT JOIN kept USING (r)
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorumcast.llm import block_anchors, langid, mixing, positional_index, ppm, sharding, simhash_links, suffix_dedup
+from quorumcast.llm import audio, block_anchors, boilerplate, langid, mixing, positional_index, ppm, sharding, simhash_links, suffix_dedup
 from quorumcast.shipping import ship
 from quorumcast.staging import stage
 
@@ -49,6 +49,11 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op4_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = stage(audio.media_column(table(spark, sf_dir, "documents")), "op4-media", compression="zstd")
+    return audio.features(media, keep_tensors=False).withColumnRenamed("id", "doc_id").drop("tensors")
+
+
 def op5_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(table(spark, sf_dir, "documents"), ~held_out(2, 7))
 
@@ -70,6 +75,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_boilerplate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", boilerplate.host(F.col("url")).alias("host"), boilerplate.page_text(F.col("html")).alias("text"))
+    kept = boilerplate.drop_boilerplate(pages, "host", "text")
+    return kept.select("page_id", "host", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -77,7 +88,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    named = [op1_sharding, op2_block_anchors, op3_suffix_dedup, op5_ppm, op6_positional_index, op8_language_id, op9_mixing, op10_simhash, pipeline]
+    named = [op1_sharding, op2_block_anchors, op3_suffix_dedup, op4_audio, op5_ppm, op6_positional_index,
+             op7_boilerplate, op8_language_id, op9_mixing, op10_simhash, pipeline]
     return {f.__name__: f for f in named}
 
 
