@@ -12,8 +12,8 @@ the rows and a seeded generator, so reruns and retried tasks agree.
 
 Defined cases: an empty table gives an empty result.  NULL keys are hashed like
 values.  Rows equal in all ``key`` columns are numbered, so that each gets a place
-of its own in the permutation; they share a partition.  Columns named like working columns are safe: those get a prefix that
-does not occur.
+of its own in the permutation; they share a partition.  Working columns get a prefix
+that does not occur; input columns named like the two results are replaced.
 """
 
 from __future__ import annotations
@@ -139,5 +139,5 @@ def shuffle_into_shards(df: DataFrame, shards: int, key: Sequence[str], seed: in
     return (
         sent.join(F.broadcast(offsets), [shard, chunk])  # shards x chunks rows, at most 1024 for each shard
         .withColumn(slot, (F.col(ahead) + F.row_number().over(inside) - 1).cast("bigint"))
-        .select(*[F.col(f"`{c}`") for c in df.columns], shard, slot)
+        .select(*[F.col(f"`{c}`") for c in df.columns if c not in (shard, slot)], shard, slot)
     )

@@ -204,7 +204,8 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     rounds grows with the logarithm of the longest chain.  Every round is
     written to the shared folder.
     """
-    both = stage(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-edges")
+    ways = F.explode(F.array(F.struct(F.col("a"), F.col("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("way")
+    both = stage(links.select(ways).select("way.a", "way.b").distinct(), f"{name}-edges")
     labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low"))
                    .select("node", F.least("node", "low").alias("root")), f"{name}-0")
     step = 0
