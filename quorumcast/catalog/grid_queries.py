@@ -95,18 +95,30 @@ def resample_interpolate(t):
     return out.withColumn("value", stable_round(F.col("value"), 6))
 
 
+cte("event_times", "ev", """SELECT resource_id, ts AS datetime, avg(CAST(cents AS DOUBLE) / 100) AS value FROM ev GROUP BY 1, 2""")
+cte("event_pairs", "event_times", """SELECT resource_id, datetime, value, lead(datetime) OVER w AS next_t, lead(value) OVER w AS next_v FROM event_times
+  WINDOW w AS (PARTITION BY resource_id ORDER BY datetime)""")
+cte("event_slots", "event_pairs", """SELECT *, unnest(generate_series(date_trunc('hour', datetime - INTERVAL 1 MICROSECOND) + INTERVAL 1 HOUR,
+  coalesce(next_t - INTERVAL 1 MICROSECOND, datetime), INTERVAL 1 HOUR)) AS slot FROM event_pairs""")
+
+
+@query(with_ctes("event_slots", f"""SELECT resource_id, slot AS datetime, {rnd("CASE WHEN slot = datetime THEN value ELSE value + (next_v - value) * date_diff('microsecond', datetime, slot) / date_diff('microsecond', datetime, next_t) END", 6)} AS value FROM event_slots"""))
+def resample_interpolate_irregular(t):
+    """Single events off the grid, at hours between them."""
+    cents = event_series(t).withColumn("value", F.round(F.col("value") * 100) / 100)
+    return grid.resample_interpolate(cents, SLOT).withColumn("value", stable_round(F.col("value"), 6))
+
+
 @query(with_ctes("sessions measurements forecasts", f"""SELECT s.session_id, s.resource_id, m.n_measurements, m.sum_measurements,
   f.n_forecasts FROM sessions s
   JOIN (SELECT s.session_id, s.resource_id, count(*) AS n_measurements, {rnd('sum(m.value)', 6)} AS sum_measurements
-    FROM sessions s JOIN measurements m ON m.resource_id = s.resource_id AND m.datetime <= s.launch_time
-      AND m.datetime >= s.launch_time - INTERVAL 7 DAY GROUP BY 1, 2) m
+    FROM sessions s JOIN measurements m ON m.resource_id = s.resource_id AND m.datetime <= s.launch_time GROUP BY 1, 2) m
     ON m.session_id = s.session_id AND m.resource_id = s.resource_id
   LEFT JOIN (SELECT s.session_id, s.resource_id, count(*) AS n_forecasts
-    FROM sessions s JOIN forecasts f ON f.resource_id = s.resource_id AND f.datetime <= s.launch_time + INTERVAL 3 DAY
-      AND f.datetime >= s.launch_time - INTERVAL 7 DAY GROUP BY 1, 2) f
+    FROM sessions s JOIN forecasts f ON f.resource_id = s.resource_id AND f.datetime <= s.launch_time + INTERVAL 3 DAY GROUP BY 1, 2) f
     ON f.session_id = s.session_id AND f.resource_id = s.resource_id"""))
 def history_cutoff(t):
-    seen, given = grid.history_cutoff(t.measurements(), t.forecasts(), t.sessions(), horizon_days=3, history_days=7)
+    seen, given = grid.history_cutoff(t.measurements(), t.forecasts(), t.sessions(), horizon_days=3)
     keys = ["session_id", "resource_id"]
     m = seen.groupBy(*keys).agg(F.count("value").alias("n_measurements"), stable_round(F.sum("value"), 6).alias("sum_measurements"))
     return m.join(given.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_forecasts")), keys, "left")
@@ -127,10 +139,9 @@ def join_forecasters(t):
 @query(with_ctes("challenges forecasts", f"""SELECT c.challenge_id, f.user_id, f.variable,
   count(CASE WHEN f.datetime < c.start_datetime THEN 1 END) AS n_train,
   count(CASE WHEN f.datetime >= c.start_datetime THEN 1 END) AS n_test, {rnd('sum(f.value)', 6)} AS total
-  FROM challenges c JOIN forecasts f ON f.resource_id = c.resource_id AND f.datetime >= c.start_datetime - INTERVAL 6 DAY
-    AND f.datetime <= c.end_datetime GROUP BY 1, 2, 3"""))
+  FROM challenges c JOIN forecasts f ON f.resource_id = c.resource_id AND f.datetime <= c.end_datetime GROUP BY 1, 2, 3"""))
 def train_test_split(t):
-    train, test = grid.train_test_split(t.forecasts(), t.challenges(), history_days=6)
+    train, test = grid.train_test_split(t.forecasts(), t.challenges())
     rows = train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
     return rows.groupBy("challenge_id", "user_id", "variable").agg(
         F.count(F.when(F.col("part") == "train", 1)).alias("n_train"),

@@ -118,13 +118,18 @@ def wide_csv(t):
     path = staging_path(t.spark, "wide")
     named = t.forecasts().withColumn("series", F.concat_ws("_", "user_id", "variable"))
     wide = named.groupBy("resource_id", "datetime").pivot("series", SERIES).agg(F.max("value"))
+    # Repeated times with other values: at five o'clock larger ones, at seven one value is empty.
+    higher = wide.filter(F.hour("datetime") == 5).select("resource_id", "datetime", *[(F.col(c) + 1).alias(c) for c in SERIES])
+    emptier = wide.filter(F.hour("datetime") == 7).withColumn("f01_q10", F.lit(None).cast("double"))
+    wide = wide.unionByName(higher).unionByName(emptier)
     wide.withColumn("datetime", F.date_format("datetime", "yyyy-MM-dd HH:mm")).write.option("header", True).csv(path)
     return path
 
 
-@query(with_ctes("forecasts", f"SELECT resource_id, user_id, variable, datetime, {rnd('value', 6)} AS value FROM forecasts"))
+@query(with_ctes("forecasts", f"""SELECT resource_id, user_id, variable, datetime, {rnd('value', 6)} AS value FROM forecasts
+  WHERE NOT (extract(hour FROM datetime) = 7 AND user_id = 'f01' AND variable = 'q10')"""))
 def read_wide_dataset(t):
-    """Forecasts written as a wide CSV, read back and turned into rows."""
+    """Forecasts written as a wide CSV with repeated, conflicting times, read back and turned into rows."""
     wide = readers.read_wide_dataset(t.spark, wide_csv(t), SERIES, keys=["resource_id"])
     return rounded(readers.unpivot_forecasts(wide, F.col("resource_id")))
 
@@ -146,59 +151,71 @@ def backup_and_purge_scores(t):
     spark, today = t.spark, "2024-01-20"
     table = f"scores_{uuid.uuid4().hex[:12]}"
     columns = ["challenge_id", "user_id", "variable", "metric", "value", "target_day"]
-    score_table(t).select(*columns).write.partitionBy("target_day").format("parquet").option(
-        "path", staging_path(spark, "scores")).saveAsTable(table)
+    path = staging_path(spark, "scores")
+    score_table(t).select(*columns).write.partitionBy("target_day").format("parquet").option("path", path).saveAsTable(table)
     stored = spark.table(table)
     copy = staging_path(spark, "score-backup")
     sinks.backup_scores(stored, today, copy)
     sinks.purge_scores(spark, table, today)
+    spark.sql(f"DROP TABLE {table}")
     schema = "challenge_id string, user_id string, variable string, metric string, value double, target_day date"
     saved = spark.read.schema(schema).option("header", True).csv(copy)
-    return saved.withColumn("part", F.lit("backup")).unionByName(spark.table(table).withColumn("part", F.lit("kept")))
+    return saved.withColumn("part", F.lit("backup")).unionByName(
+        spark.read.schema(schema).parquet(path).withColumn("part", F.lit("kept")))  # the files, not the table
 
 
-@query(with_ctes("forecasts challenges measurements", f"""SELECT c.use_case, c.target_day, f.datetime, f.resource_id, {rnd('any_value(m.value)', 6)} AS target,
-  {rnd("max(CASE WHEN f.user_id = 'f01' AND f.variable = 'q50' THEN f.value END)", 6)} AS f01_q50,
-  {rnd("max(CASE WHEN f.user_id = 'f15' AND f.variable = 'q90' THEN f.value END)", 6)} AS f15_q90 FROM forecasts f
-  JOIN challenges c ON c.challenge_id = f.challenge_id LEFT JOIN measurements m ON m.resource_id = f.resource_id AND m.datetime = f.datetime GROUP BY 1, 2, 3, 4"""))
+_WIDE = ", ".join(rnd(f"max(CASE WHEN f.user_id = '{c[:3]}' AND f.variable = '{c[4:]}' THEN f.value END)", 6) + f" AS {c}" for c in SERIES)
+
+
+@query(with_ctes("forecasts challenges measurements", f"""SELECT c.use_case, c.target_day, f.datetime, f.resource_id, {rnd('any_value(m.value)', 6)} AS target, {_WIDE}
+  FROM forecasts f JOIN challenges c ON c.challenge_id = f.challenge_id
+  LEFT JOIN measurements m ON m.resource_id = f.resource_id AND m.datetime = f.datetime GROUP BY 1, 2, 3, 4"""))
 def export_training_data(t):
     path = staging_path(t.spark, "training")
     users = [f"f{k:02d}" for k in range(1, 16)]
     sinks.export_training_data(t.forecasts(), t.measurements(), t.challenges(), users, path, slot_minutes=60)
     fields = "resource_id string, datetime timestamp_ntz, " + ", ".join(f"{c} double" for c in SERIES) + ", target double, use_case string, target_day date"
     back = t.spark.read.schema(fields).option("header", True).csv(path)
-    return back.select("use_case", "target_day", "datetime", "resource_id", *[stable_round(F.col(c), 6).alias(c) for c in ("target", "f01_q50", "f15_q90")])
+    return back.select("use_case", "target_day", "datetime", "resource_id", *[stable_round(F.col(c), 6).alias(c) for c in ("target", *SERIES)])
 
 
-cte("backtest_parts", "sessions challenges ensemble_two forecasts", f"""SELECT 'sessions' AS part, session_id, resource_id, count(*) AS n, CAST(0 AS DOUBLE) AS total FROM sessions GROUP BY 1, 2, 3
-  UNION ALL SELECT 'forecasts', c.session_id, e.resource_id, count(*), {rnd('sum(e.value)', 4)} FROM ensemble_two e JOIN challenges c ON c.challenge_id = e.challenge_id GROUP BY 1, 2, 3
-  UNION ALL SELECT 'submissions', c.session_id, f.resource_id, count(*), {rnd('sum(f.value)', 4)} FROM forecasts f JOIN challenges c ON c.challenge_id = f.challenge_id GROUP BY 1, 2, 3""")
+_CSV_TIME = "strftime({}, '%Y-%m-%d %H:%M')"
+cte("backtest_parts", "sessions challenges ensemble_two forecasts", f"""SELECT 'sessions' AS part, s.session_id, s.resource_id, CAST(n AS VARCHAR) AS name,
+    {_CSV_TIME.format('s.launch_time')} || ' ' || {_CSV_TIME.format('c.start_datetime')} || ' ' || CAST(CAST(c.end_datetime AS DATE) AS VARCHAR) AS variable,
+    {_CSV_TIME.format('c.end_datetime')} AS datetime, CAST(NULL AS DOUBLE) AS value
+    FROM sessions s JOIN challenges c ON c.session_id = s.session_id AND c.resource_id = s.resource_id
+    LEFT JOIN (SELECT resource_id, count(DISTINCT user_id) AS n FROM forecasts GROUP BY 1) f ON f.resource_id = s.resource_id
+  UNION ALL SELECT 'forecasts', c.session_id, e.resource_id, e.strategy, e.variable, {_CSV_TIME.format('e.datetime')}, {rnd('e.value', 6)}
+    FROM ensemble_two e JOIN challenges c ON c.challenge_id = e.challenge_id
+  UNION ALL SELECT 'submissions', c.session_id, f.resource_id, f.user_id, f.variable, {_CSV_TIME.format('f.datetime')}, {rnd('f.value', 6)}
+    FROM forecasts f JOIN challenges c ON c.challenge_id = f.challenge_id""")
 
 
 @query(with_ctes("backtest_parts", "SELECT * FROM backtest_parts"))
 def write_backtest_reports(t):
+    """All rows of the three reports, read back."""
     path = staging_path(t.spark, "backtest")
     sinks.write_backtest_reports(t.sessions(), t.challenges(), two_ensembles(t), t.forecasts(), path)
-    out = None
-    fields = {"sessions": "session_id string, resource_id string, launch_time string, target_day date, forecast_start string, forecast_end string, n_forecasters long",
-              "forecasts": "session_id string, resource_id string, strategy string, variable string, datetime string, value double",
-              "submissions": "session_id string, resource_id string, forecaster_id string, variable string, datetime string, value double"}
-    for part, schema in fields.items():
-        df = t.spark.read.schema(schema).option("header", True).csv(f"{path}/{part}")
-        total = F.lit(0.0) if part == "sessions" else stable_round(F.sum("value"), 4)
-        agg = df.groupBy("session_id", "resource_id").agg(F.count(F.lit(1)).alias("n"), total.alias("total")).withColumn("part", F.lit(part))
-        out = agg if out is None else out.unionByName(agg)
+    read = lambda part, schema: t.spark.read.schema(schema).option("header", True).csv(f"{path}/{part}").withColumn("part", F.lit(part))
+    head = read("sessions", "session_id string, resource_id string, launch_time string, target_day string, forecast_start string, forecast_end string, n_forecasters string")
+    out = head.select("part", "session_id", "resource_id", F.col("n_forecasters").alias("name"),
+                      F.concat_ws(" ", "launch_time", "forecast_start", "target_day").alias("variable"),
+                      F.col("forecast_end").alias("datetime"), F.lit(None).cast("double").alias("value"))
+    for part, name in (("forecasts", "strategy"), ("submissions", "forecaster_id")):
+        rows = read(part, f"session_id string, resource_id string, {name} string, variable string, datetime string, value double")
+        out = out.unionByName(rounded(rows.withColumnRenamed(name, "name")))
     return out
 
 
-@query(with_ctes("measurements_raw resources", """SELECT 'measurements' AS tbl, 's1' AS session_id, count(*) AS n FROM measurements_raw
-  UNION ALL SELECT 'resources', 's1', count(*) FROM resources"""))
+@query(with_ctes("measurements_raw resources", f"""SELECT 'measurements' AS tbl, 's1' AS session_id, resource_id, datetime, {rnd('value', 6)} AS value FROM measurements_raw
+  UNION ALL SELECT 'resources', 's1', resource_id, CAST(NULL AS TIMESTAMP), NULL FROM resources"""))
 def snapshot_inputs(t):
     path = staging_path(t.spark, "snapshot")
     sinks.snapshot_inputs({"measurements": t.measurements_raw(), "resources": t.resources()}, "s1", path)
-    read = [t.spark.read.parquet(f"{path}/{n}").groupBy("session_id").agg(F.count(F.lit(1)).alias("n")).withColumn("tbl", F.lit(n))
-            for n in ("measurements", "resources")]
-    return read[0].unionByName(read[1])
+    columns = ["tbl", "session_id", "resource_id", "datetime", "value"]
+    first = rounded(t.spark.read.parquet(f"{path}/measurements").withColumn("tbl", F.lit("measurements"))).select(*columns)
+    second = t.spark.read.parquet(f"{path}/resources").withColumn("tbl", F.lit("resources"))
+    return first.unionByName(second.select("tbl", "session_id", "resource_id", F.lit(None).cast("timestamp_ntz").alias("datetime"), F.lit(None).cast("double").alias("value")))
 
 
 @query(with_ctes("ensemble_two", f"SELECT challenge_id, strategy, variable, strftime(datetime, '%Y-%m-%dT%H:%M:%SZ') AS datetime, {rnd('value', 6)} AS value FROM ensemble_two"))
@@ -218,5 +235,4 @@ def publish_monthly_stats(t):
     sinks.publish_monthly_stats(stats, path)
     changed = stats.filter(F.col("resource_id").startswith("view")).withColumn("avg_score", F.col("avg_score") + 1)
     sinks.publish_monthly_stats(changed, path)
-    schema = "track string, user_id string, avg_score double, year int, month_no int, resource_id string"
-    return t.spark.read.schema(schema).parquet(path)
+    return t.spark.read.parquet(path).drop("bucket")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quorumcast.functions.timegrid import (
-    elapsed_seconds, from_zone, minutes_interval, slot_count, slot_start, slots_between, to_zone,
+    from_zone, minutes_interval, slot_count, slot_start, slots_between, to_zone,
 )
 
 # The use cases a resource may have.
@@ -85,25 +85,37 @@ def resample_mean(series: DataFrame, slot_minutes: int = 15, keys: Sequence[str]
 
 
 def resample_interpolate(series: DataFrame, slot_minutes: int = 15, keys: Sequence[str] = ("resource_id",)) -> DataFrame:
-    """Fill every slot between two known values on a straight line.
-
-    Each known value looks at the next one and writes the slots up to it, so
-    neither a grid join nor a second window is needed.
+    """Value at every slot between the first and the last known time, on a straight
+    line between the known times around it.
+
+    The grid is fixed: a known time off the grid has no row of its own.  Times are
+    bucketed by slot first.  A slot is reached from the last known time of the
+    nearest earlier slot that has one, so one row per slot and not every known time
+    is ordered, and the first of its own slot ends the line.  Repeated times
+    count with their mean.
     """
-    known = series.filter(F.col("value").isNotNull()).select(*keys, "datetime", "value")
-    ordered = Window.partitionBy(*keys).orderBy("datetime")
-    pair = known.withColumn("_next_t", F.lead("datetime").over(ordered)).withColumn("_next_v", F.lead("value").over(ordered))
-    step = slot_minutes * 60
-    # The next known slot itself is written by its own row.
-    count = F.ceil(elapsed_seconds(F.col("datetime"), F.col("_next_t")) / step).cast("int")
-    steps = F.when(F.col("_next_t").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), count - 1))
-    spread = pair.withColumn("_i", F.explode(steps))
-    span = elapsed_seconds(F.col("datetime"), F.col("_next_t"))
-    at = F.col("datetime") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("_i") * slot_minutes)
-    value = F.when(F.col("_i") == 0, F.col("value")).otherwise(
-        F.col("value") + (F.col("_next_v") - F.col("value")) * (F.col("_i") * step) / span
-    )
-    return spread.select(*keys, at.alias("datetime"), value.alias("value"))
+    known = series.filter(F.col("value").isNotNull()).groupBy(*keys, "datetime").agg(F.avg("value").alias("value"))
+    point = F.struct(F.col("datetime").alias("t"), F.col("value").alias("v"))
+    slots = known.groupBy(*keys, slot_start(F.col("datetime"), slot_minutes).alias("_slot")).agg(
+        F.min(point).alias("_first"), F.max(point).alias("_last"))
+    # Slots are joined day by day; only each day's last slot looks beyond its day.
+    day = F.to_date("_slot")
+    inside = Window.partitionBy(*keys, "_day").orderBy("_slot")
+    days = slots.groupBy(*keys, day.alias("_day")).agg(F.min(F.struct("_slot", "_first")).alias("_begin"))
+    across = Window.partitionBy(*keys).orderBy("_day")
+    after = days.select(*keys, "_day", F.lead("_begin").over(across).alias("_after"))
+    pairs = slots.withColumn("_day", day).withColumn("_next", F.lead(F.struct("_slot", "_first")).over(inside)).join(after, [*keys, "_day"])
+    follow = F.coalesce("_next", "_after")
+    # A slot start that is itself a known time is a row; others lie on the line into the next bucket.
+    own = pairs.filter(F.col("_first.t") == F.col("_slot")).select(*keys, F.col("_slot").alias("datetime"), F.col("_first.v").alias("value"))
+    step = minutes_interval(slot_minutes)
+    ahead = pairs.withColumn("_follow", follow).filter(F.col("_follow").isNotNull()).withColumn(
+        "datetime", F.explode(F.sequence(F.col("_slot") + step, F.col("_follow._slot"), step)))
+    ahead = ahead.filter(F.col("datetime") < F.col("_follow._first.t"))
+    span = F.timestamp_diff("MICROSECOND", F.col("_last.t"), F.col("_follow._first.t"))
+    part = F.timestamp_diff("MICROSECOND", F.col("_last.t"), F.col("datetime")) / span
+    line = ahead.select(*keys, "datetime", (F.col("_last.v") + (F.col("_follow._first.v") - F.col("_last.v")) * part).alias("value"))
+    return own.unionByName(line)
 
 
 def days_spanned(start: Column, end: Column) -> Column:
@@ -126,21 +138,32 @@ def range_join(facts: DataFrame, ranges: DataFrame, start: str, end: str,
 
 
 def history_cutoff(measurements: DataFrame, forecasts: DataFrame, sessions: DataFrame,
-                   horizon_days: int = 3, history_days: int = 31) -> tuple[DataFrame, DataFrame]:
+                   horizon_days: int = 3, history_days: int | None = None) -> tuple[DataFrame, DataFrame]:
     """What each session may see: measurements up to launch, forecasts up to launch + horizon.
 
-    ``sessions`` needs (session_id, resource_id, launch_time).
+    ``sessions`` needs (session_id, resource_id, launch_time).  All history is kept
+    unless ``history_days`` asks for less; a session's rows are its input, so the
+    result has a copy of the history for each session.
     """
-    bounds = sessions.select(
-        "session_id", "resource_id", "launch_time",
-        (F.col("launch_time") - minutes_interval(history_days * 1440)).alias("_from"),
-        (F.col("launch_time") + minutes_interval(horizon_days * 1440)).alias("_horizon"),
-    )
-    seen = range_join(measurements, bounds, "_from", "launch_time").drop("_from", "_horizon")
-    given = range_join(forecasts, bounds, "_from", "_horizon").drop("_from", "_horizon")
+    bounds = sessions.select("session_id", "resource_id", "launch_time",
+                             (F.col("launch_time") + minutes_interval(horizon_days * 1440)).alias("_horizon"))
+    begun = _history_start(bounds, "launch_time", history_days)
+    seen = range_join(measurements, begun(measurements), "_from", "launch_time").drop("_from", "_horizon")
+    given = range_join(forecasts, begun(forecasts), "_from", "_horizon").drop("_from", "_horizon")
     return seen, given
 
 
+def _history_start(ranges: DataFrame, anchor: str, history_days: int | None):
+    """Adds ``_from``: a number of days before the anchor, or the resource's first row."""
+    def add(rows: DataFrame) -> DataFrame:
+        if history_days is not None:
+            return ranges.withColumn("_from", F.col(anchor) - minutes_interval(history_days * 1440))
+        first = rows.groupBy("resource_id").agg(F.min("datetime").alias("_first"))
+        return ranges.join(first, "resource_id").withColumn("_from", F.least("_first", anchor)).drop("_first")
+
+    return add
+
+
 def join_forecasters(grid: DataFrame, forecasts: DataFrame) -> DataFrame:
     """Every (user, variable) of a resource on every slot of its grid, NULL where nothing was sent."""
     series = forecasts.select("resource_id", "user_id", "variable").distinct()
@@ -149,15 +172,12 @@ def join_forecasters(grid: DataFrame, forecasts: DataFrame) -> DataFrame:
     return dense.join(rows, ["resource_id", "user_id", "variable", "datetime"], "left")
 
 
-def train_test_split(series: DataFrame, challenges: DataFrame, history_days: int = 31,
+def train_test_split(series: DataFrame, challenges: DataFrame, history_days: int | None = None,
                      include_start: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Rows before each challenge's start, and rows inside its window."""
-    c = challenges.select(
-        "challenge_id", "resource_id", "start_datetime", "end_datetime",
-        (F.col("start_datetime") - minutes_interval(history_days * 1440)).alias("_from"),
-    )
+    """Rows before each challenge's start (all, unless ``history_days`` asks for less), and rows inside its window."""
+    c = challenges.select("challenge_id", "resource_id", "start_datetime", "end_datetime")
     rows = series.drop("challenge_id")
-    train = range_join(rows, c, "_from", "start_datetime", include_end=include_start)
+    train = range_join(rows, _history_start(c, "start_datetime", history_days)(rows), "_from", "start_datetime", include_end=include_start)
     test = range_join(rows, c, "start_datetime", "end_datetime")
     extra = ("start_datetime", "end_datetime", "_from")
     return train.drop(*extra), test.drop(*extra)

@@ -163,7 +163,10 @@ def unpivot_forecasts(wide: DataFrame, resource: Column, quantiles: Sequence[str
 
 def read_wide_dataset(spark: SparkSession, path: str, columns: Sequence[str], timestamp_format: str = "yyyy-MM-dd HH:mm",
                       keys: Sequence[str] = ()) -> DataFrame:
-    """Wide CSV with ``datetime`` and number columns; repeated times keep one row, all-empty rows go.
+    """Wide CSV with ``datetime`` and number columns; all-empty rows go, and of a repeated time one whole row stays.
+
+    The order of lines is not known to a distributed reader, so the row kept is the
+    one with the smallest values, column by column, an empty value counting as smallest.
 
     ``columns`` names the number columns and ``keys`` any text columns in front,
     so no pass over the files is spent on guessing types.
@@ -175,7 +178,8 @@ def read_wide_dataset(spark: SparkSession, path: str, columns: Sequence[str], ti
     )
     clean = [F.when(~F.isnan(c), F.col(c)).alias(c) for c in columns]
     df = df.select(*keys, "datetime", *clean).dropna(how="all", subset=list(columns))
-    return df.groupBy(*keys, "datetime").agg(*[F.min(c).alias(c) for c in columns])
+    kept = df.groupBy(*keys, "datetime").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in columns])).alias("_row"))
+    return kept.select(*keys, "datetime", *[F.col(f"_row.`{c}`").alias(c) for c in columns])
 
 
 def wide_measurements(wide: DataFrame, resource: Column, column: str = "target") -> DataFrame:
