@@ -180,18 +180,19 @@ def weighted_avg_no_outliers(t):
     return rounded(fitted.predict(f))
 
 
-cte("kept_members", "kept", "SELECT DISTINCT resource_id, challenge_id, variable, user_id FROM kept")
-cte("kept_weights", "kept_members recent", f"""SELECT *, e / sum(e) OVER (PARTITION BY challenge_id, variable) AS weight FROM
+_KEPT = f""", dtw_kept AS (SELECT f.* FROM forecasts f WHERE NOT EXISTS (SELECT 1 FROM dtw_outliers o
+    WHERE o.challenge_id = f.challenge_id AND o.variable = f.variable AND o.user_id = f.user_id)),
+kept_weights AS (SELECT *, e / sum(e) OVER (PARTITION BY challenge_id, variable) AS weight FROM
   (SELECT *, exp(-0.001 * (s - min(s) OVER (PARTITION BY challenge_id, variable))) AS e FROM
-    (SELECT {MEMBER_KEYS}, coalesce(r.score, 999999) AS s FROM kept_members m LEFT JOIN recent r
-     ON r.challenge_id = m.challenge_id AND r.variable = m.variable AND r.user_id = m.user_id))""")
+    (SELECT {MEMBER_KEYS}, coalesce(r.score, 999999) AS s FROM (SELECT DISTINCT resource_id, challenge_id, variable, user_id FROM dtw_kept) m
+     LEFT JOIN recent r ON r.challenge_id = m.challenge_id AND r.variable = m.variable AND r.user_id = m.user_id)))"""
 
 
-@query(with_ctes("kept_weights kept", weighted_sql("kept_weights").replace("FROM forecasts f", "FROM kept f")))
+@query(_dtw_sql(_DTW_OUT + _KEPT, weighted_sql("kept_weights").replace("FROM forecasts f", "FROM dtw_kept f"), "sides bounds forecasts recent"))
 def weighted_avg(t):
+    """The production strategy: outliers by warping distance, exponential weights."""
     f, scores = learned(t)
-    found = out.detect_outliers(f, ALPHA, distance="euclidean")
-    fitted = st.registry.get("weighted_avg").fit(st.Training(scores=scores, outliers=found))
+    fitted = st.registry.get("weighted_avg", outlier_alpha=ALPHA).fit(st.Training(scores=scores))
     return rounded(fitted.predict(f))
 
 
@@ -320,9 +321,45 @@ def resolve_strategies(t):
     return assigned_strategies(t)
 
 
-@query()
+# Normal equations of the centred system, and elimination without pivoting (it is
+# positive definite) down to triangular form and back, all models at once.
+_RIDGE = """ridge_rows AS (SELECT f.resource_id, f.variable, f.user_id, f.datetime, f.value, m.value AS y FROM forecasts f
+  JOIN measurements m ON m.resource_id = f.resource_id AND m.datetime = f.datetime),
+ridge_mean AS (SELECT resource_id, variable, user_id, avg(value) AS x_mean FROM ridge_rows GROUP BY 1, 2, 3),
+ridge_y AS (SELECT resource_id, variable, avg(y) AS y_mean FROM (SELECT DISTINCT resource_id, variable, datetime, y FROM ridge_rows) GROUP BY 1, 2),
+centred AS (SELECT r.resource_id, r.variable, r.datetime, CAST(substr(r.user_id, 2) AS INTEGER) AS k, r.value - n.x_mean AS x, r.y - o.y_mean AS y
+  FROM ridge_rows r JOIN ridge_mean n USING (resource_id, variable, user_id) JOIN ridge_y o USING (resource_id, variable)),
+cells AS (SELECT a.resource_id, a.variable, a.k AS i, b.k AS j, sum(a.x * b.x) + CASE WHEN a.k = b.k THEN 1 ELSE 0 END AS v
+  FROM centred a JOIN centred b USING (resource_id, variable, datetime) GROUP BY 1, 2, 3, 4
+  UNION ALL SELECT resource_id, variable, k, 16, sum(x * y) FROM centred GROUP BY 1, 2, 3),
+start AS (SELECT resource_id, variable, i, list(coalesce(v, 0) ORDER BY j) AS r FROM (
+  SELECT a.resource_id, a.variable, a.i, b.j, c.v FROM (SELECT DISTINCT resource_id, variable, i FROM cells) a
+  JOIN (SELECT unnest(generate_series(1, 16)) AS j) b ON true
+  LEFT JOIN cells c ON c.resource_id = a.resource_id AND c.variable = a.variable AND c.i = a.i AND c.j = b.j) GROUP BY 1, 2, 3),
+solved AS (SELECT 0 AS n, resource_id, variable, i, r FROM start
+  UNION ALL SELECT n + 1, s.resource_id, s.variable, s.i,
+    CASE WHEN s.i = n + 1 THEN list_transform(s.r, lambda v: v / s.r[n + 1])
+    ELSE list_transform(range(1, 17), lambda j: s.r[j] - s.r[n + 1] * p.r[j] / p.r[n + 1]) END
+  FROM solved s JOIN solved p USING (n, resource_id, variable) WHERE p.i = n + 1 AND n < 15),
+ridge AS (SELECT resource_id, variable, 'f' || lpad(CAST(i AS VARCHAR), 2, '0') AS user_id, r[16] AS coef FROM solved WHERE n = 15)"""
+
+
+def _ridge_sql(body: str) -> str:
+    return with_ctes("forecasts measurements", "").replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + ",\n" + _RIDGE + "\n" + body
+
+
+def _ridge(t):
+    return stacking.ridge_coefficients(t.forecasts(), t.measurements())
+
+
+@query(_ridge_sql(f"""SELECT resource_id, challenge_id, variable, datetime, {rnd('greatest(max(y_mean) + sum(coef * (value - x_mean)), 0)', 4)} AS value
+  FROM forecasts JOIN ridge USING (resource_id, variable, user_id) JOIN ridge_mean USING (resource_id, variable, user_id)
+  JOIN ridge_y USING (resource_id, variable) GROUP BY 1, 2, 3, 4"""))
 def ridge_stacking(t):
-    """Fifteen steps, one per forecaster, solve the system; compared with a direct solution in the tests."""
-    f = t.forecasts()
-    coefficients = stacking.ridge_coefficients(f, t.measurements(), steps=15)
-    return rounded(stacking.ridge_predict(f, coefficients), 4)
+    return rounded(stacking.ridge_predict(t.forecasts(), _ridge(t)), 4)
+
+
+@query(_ridge_sql(f"""SELECT resource_id, variable, user_id, {rnd('CASE WHEN total > 0 THEN w / total ELSE w END', 6)} AS weight FROM
+  (SELECT *, sum(w) OVER (PARTITION BY resource_id, variable) AS total FROM (SELECT *, greatest(coef, 0) AS w FROM ridge))"""))
+def ridge_weights(t):
+    return stacking.ridge_weights(_ridge(t)).withColumn("weight", stable_round(F.col("weight"), 6))

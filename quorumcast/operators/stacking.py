@@ -9,7 +9,9 @@ built, and no resource is gathered in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quorumcast.staging import stage
@@ -36,39 +38,49 @@ def _training(forecasts: DataFrame, measurements: DataFrame) -> tuple[DataFrame,
     return x, x_mean.join(y_mean, MODEL)
 
 
-def ridge_coefficients(forecasts: DataFrame, measurements: DataFrame, alpha: float = 1.0, steps: int = 20,
-                       tolerance: float = 1e-12) -> DataFrame:
+class NotConverged(RuntimeError):
+    """Conjugate gradients did not reach the tolerance."""
+
+
+def ridge_coefficients(forecasts: DataFrame, measurements: DataFrame, alpha: float = 1.0,
+                       tolerance: float = 1e-28, keep: Callable[[DataFrame, str], DataFrame] = stage) -> DataFrame:
     """(resource_id, variable, user_id, coef, x_mean, y_mean).
 
-    Conjugate gradients are exact after as many steps as there are forecasters and
-    usually close much earlier; a model whose residual fell below ``tolerance`` of
-    its start keeps its coefficients.  Each step's vectors, one row per forecaster,
-    are written once, which also cuts the lineage.
+    Conjugate gradients go on until every model's squared residual is below
+    ``tolerance`` of its start; a model that got there keeps its coefficients.  In
+    exact arithmetic that takes as many steps as a model has forecasters; rounding
+    may need more, and after ten times that number ``NotConverged`` is raised.
+    Each step's vectors, one row per forecaster, are written once, which also cuts the lineage.
     """
     x, means = _training(forecasts, measurements)
-    x = stage(x, "ridge-rows")
+    x = keep(x, "ridge-rows")
     start = x.groupBy(*COEF).agg(F.sum(F.col("x") * F.col("y")).alias("r"))
-    state = stage(start.select(*COEF, F.lit(0.0).alias("w"), "r", F.col("r").alias("p")), "ridge-state")
-    norm0 = stage(state.groupBy(*MODEL).agg(F.sum(F.col("r") * F.col("r")).alias("rr0")), "ridge-norm")
-    for _ in range(steps):
+    state = keep(start.select(*COEF, F.lit(0.0).alias("w"), "r", F.col("r").alias("p")), "ridge-state")
+    norm0 = keep(state.groupBy(*MODEL).agg(F.sum(F.col("r") * F.col("r")).alias("rr0"), F.count(F.lit(1)).alias("size0")), "ridge-norm")
+    largest = norm0.agg(F.max("size0")).first()[0] or 0
+    step = 0
+    while True:
+        residual = state.groupBy(*MODEL).agg(F.sum(F.col("r") * F.col("r")).alias("rr")).join(norm0, MODEL)
+        if residual.filter(F.col("rr") > F.lit(tolerance) * F.col("rr0")).isEmpty():
+            return state.select(*COEF, F.col("w").alias("coef")).join(means, COEF)
+        if step >= 10 * largest:
+            raise NotConverged(f"ridge models are not solved after {step} steps")
+        step += 1
         xp = x.join(state.select(*COEF, "p"), COEF).groupBy(*MODEL, "datetime").agg(F.sum(F.col("x") * F.col("p")).alias("q"))
         back = x.join(xp, [*MODEL, "datetime"]).groupBy(*COEF).agg(F.sum(F.col("x") * F.col("q")).alias("a"))
-        vec = stage(state.join(back, COEF).withColumn("a", F.col("a") + F.lit(float(alpha)) * F.col("p")), "ridge-step")
+        vec = keep(state.join(back, COEF).withColumn("a", F.col("a") + F.lit(float(alpha)) * F.col("p")), "ridge-step")
         dots = vec.groupBy(*MODEL).agg(
             F.sum(F.col("r") * F.col("r")).alias("rr"), F.sum(F.col("p") * F.col("a")).alias("pa"),
-            F.sum(F.col("r") * F.col("a")).alias("ra"), F.sum(F.col("a") * F.col("a")).alias("aa"),
         ).join(norm0, MODEL)
         going = (F.col("pa") > 0) & (F.col("rr") > F.lit(tolerance) * F.col("rr0"))
         dots = dots.withColumn("size", F.when(going, F.col("rr") / F.col("pa")).otherwise(F.lit(0.0)))
-        # |r - size a|^2 from the sums at hand, so the step needs no second pass.
-        rr_new = F.col("rr") - 2 * F.col("size") * F.col("ra") + F.col("size") * F.col("size") * F.col("aa")
-        dots = dots.withColumn("beta", F.when(F.col("size") > 0, F.greatest(rr_new, F.lit(0.0)) / F.col("rr")).otherwise(F.lit(0.0)))
-        r: Column = F.col("r") - F.col("size") * F.col("a")
-        state = stage(
-            vec.join(dots.select(*MODEL, "size", "beta"), MODEL).select(
-                *COEF, (F.col("w") + F.col("size") * F.col("p")).alias("w"), r.alias("r"), (r + F.col("beta") * F.col("p")).alias("p")
-            ), "ridge-state")
-    return state.select(*COEF, F.col("w").alias("coef")).join(means, COEF[:2] + ["user_id"])
+        moved = vec.join(dots.select(*MODEL, "size", F.col("rr").alias("rr_old")), MODEL).select(
+            *COEF, (F.col("w") + F.col("size") * F.col("p")).alias("w"), (F.col("r") - F.col("size") * F.col("a")).alias("r"),
+            "p", "size", "rr_old")
+        # The new residual is summed up afresh: from the old sums it would lose its digits.
+        new = moved.groupBy(*MODEL).agg(F.sum(F.col("r") * F.col("r")).alias("rr_new"))
+        beta = F.when((F.col("size") > 0) & (F.col("rr_old") > 0), F.col("rr_new") / F.col("rr_old")).otherwise(F.lit(0.0))
+        state = keep(moved.join(new, MODEL).select(*COEF, "w", "r", (F.col("r") + beta * F.col("p")).alias("p")), "ridge-state")
 
 
 def ridge_weights(coefficients: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quorumcast.operators import ensembles as ens
+from quorumcast.operators import stacking
 from quorumcast.operators.outliers import detect_outliers
 
 
@@ -205,6 +206,26 @@ class FixedWeights(Strategy):
         return ens.fixed_weights(block, self.table)
 
 
+@registry.register("ridge")
+class Ridge(Strategy):
+    """Stacking by ridge regression on everything known before the fit."""
+
+    def __init__(self, alpha: float = 1.0, **kw):
+        super().__init__(**kw)
+        self.alpha = alpha
+
+    def fit_state(self, training):
+        if training.forecasts is None or training.measurements is None:
+            raise StrategyError("ridge needs forecasts and measurements to fit")
+        return stacking.ridge_coefficients(training.forecasts, training.measurements, self.alpha)
+
+    def block_weights(self, block, state):
+        return ens.members(block).join(stacking.ridge_weights(state), ["resource_id", "variable", "user_id"]).select(*ens.MEMBER, "weight")
+
+    def predict_block(self, block, state):
+        return stacking.ridge_predict(block, state, lower=None)
+
+
 @registry.register("score_weighted")
 class ScoreWeighted(Strategy):
     def __init__(self, beta: float = 0.001, **kw):

@@ -16,10 +16,25 @@ def test_ridge_against_direct_solution(spark):
     X, y = np.array([values[u] for u in sorted(values)]).T, np.array(truth)
     Xc, yc = X - X.mean(axis=0), y - y.mean()
     want = np.linalg.solve(Xc.T @ Xc + np.eye(4), Xc.T @ yc)
-    coefficients = stacking.ridge_coefficients(b, m, alpha=1.0, steps=6)
+    coefficients = stacking.ridge_coefficients(b, m, alpha=1.0)
     got = {r.user_id: r.coef for r in coefficients.collect()}
     assert [got[u] for u in sorted(values)] == pytest.approx(list(want), rel=1e-6, abs=1e-8)
     weights = {r.user_id: r.weight for r in stacking.ridge_weights(coefficients).collect()}
     assert sum(weights.values()) == pytest.approx(1) and min(weights.values()) >= 0
     made = [r.value for r in stacking.ridge_predict(b, coefficients).orderBy("datetime").collect()]
     assert made == pytest.approx(list(np.maximum(Xc @ want + y.mean(), 0)), rel=1e-6)
+
+
+def test_many_nearly_collinear_forecasters(spark):
+    rnd = random.Random(6)
+    truth = [rnd.uniform(0, 100) for _ in range(60)]
+    values = {f"u{i:02d}": [v + rnd.gauss(0, 0.5) for v in truth] for i in range(40)}
+    times = [f"2024-01-{1 + i // 24:02d} {i % 24:02d}:00:00" for i in range(60)]
+    rows = [("r1", "c1", u, "q50", t, v) for u, vs in values.items() for t, v in zip(times, vs)]
+    b = series(spark, rows, "resource_id string, challenge_id string, user_id string, variable string, datetime string, value double")
+    m = series(spark, [("r1", t, v) for t, v in zip(times, truth)], "resource_id string, datetime string, value double")
+    X, y = np.array([values[u] for u in sorted(values)]).T, np.array(truth)
+    Xc, yc = X - X.mean(axis=0), y - y.mean()
+    want = np.linalg.solve(Xc.T @ Xc + np.eye(40), Xc.T @ yc)
+    got = {r.user_id: r.coef for r in stacking.ridge_coefficients(b, m).collect()}
+    assert [got[u] for u in sorted(values)] == pytest.approx(list(want), rel=1e-6, abs=1e-8)
