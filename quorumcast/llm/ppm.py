@@ -204,6 +204,25 @@ class _Unit:
             keys, counts = _counted(np.concatenate([keys, k]), np.concatenate([counts, c]))
         return keys, counts
 
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Sum over each text of the values of its strings, given those of the distinct
+        strings in order.  Each piece is sorted once and looked up in that order."""
+        held, keys = [], np.zeros(0, np.uint64)
+        for a, z, g, _ in self.pieces():
+            order = np.argsort(g)
+            s = g[order]
+            first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+            held.append((a, z, order.astype(np.int32), s[first], np.diff(np.append(first, len(s)))))
+            keys = np.union1d(keys, s[first])
+        out = np.zeros(len(self.offsets) - 1)
+        for a, z, order, distinct, times in held:
+            at = np.empty(len(order))
+            at[order] = np.repeat(values[np.searchsorted(keys, distinct)], times)
+            total = np.concatenate([[0.0], np.cumsum(at)])
+            o = self.offsets[a:z + 1] - self.offsets[a]
+            out[a:z] = total[o[1:]] - total[o[:-1]]
+        return out
+
 
 def pair_counts(docs: DataFrame, train: Column, text: str = "text") -> np.ndarray:
     """How often each byte follows each (zero at the start), in training documents."""
@@ -281,13 +300,7 @@ def score(docs: DataFrame, train: Column, id_column: str = "doc_id", text: str =
         c = np.concatenate(counts)[back] if len(back) else np.zeros(0, np.int64)
         part = np.log10(c + 1.0)
         edge = np.concatenate([[0.0], np.cumsum(part)])
-        logarithms = np.concatenate(logs) if logs else np.zeros(0, np.float32)
-        keys, _ = u.grams()
-        scores = np.zeros(len(u.ids))
-        for a, z, g, _ in u.pieces():
-            value = np.concatenate([[0.0], np.cumsum(logarithms[np.searchsorted(keys, g)].astype(np.float64))])
-            o = u.offsets[a:z + 1] - u.offsets[a]
-            scores[a:z] = value[o[1:]] - value[o[:-1]]
+        scores = u.sums(np.concatenate(logs) if logs else np.zeros(0, np.float32))
         return pa.table({
             "doc_id": u.ids.cast(pa.int64()), "held_out": pa.array(~u.train), "n_tokens": pa.array(np.diff(u.rows) + 1, pa.int64()),
             "n_known": pa.array(ta.sums(c > 0, u.rows), pa.int64()), "train_tokens": pa.array(np.full(len(u.ids), tokens), pa.int64()),
