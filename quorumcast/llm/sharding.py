@@ -26,8 +26,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_PART = 4096
-MOST_PARTS = 16384
+ROWS_PER_PART = 1024
+MOST_PARTS = 65536
 
 
 def hypergeometric(rng: random.Random, draws: int, good: int, total: int) -> int:
@@ -96,7 +96,7 @@ def shuffle_into_shards(df: DataFrame, shards: int, key: Sequence[str], seed: in
 
     ``key`` are the columns that tell rows apart.  The only thing the driver sees
     is one count for each of at most ``MOST_PARTS`` partitions; the matrix it sends
-    back has ``shards`` numbers for each and is broadcast, a few MB at most.
+    back has ``shards`` numbers for each and is broadcast, some MB at most.
     """
     pre = _free_prefix([*df.columns, shard, slot])
     part, copy, order, again, chunk, place, upto, ahead = (
@@ -108,7 +108,7 @@ def shuffle_into_shards(df: DataFrame, shards: int, key: Sequence[str], seed: in
 
     total = df.count()
     parts = min(MOST_PARTS, max(16, total // ROWS_PER_PART))
-    chunks = min(1024, max(1, total // shards // ROWS_PER_PART))
+    chunks = min(MOST_PARTS, max(1, total // shards // ROWS_PER_PART))
     dealt = df.withColumn(part, F.pmod(drawn(1), F.lit(parts)).cast("int"))
     sizes = {r[0]: r[1] for r in dealt.groupBy(part).count().collect()}  # one row for each of `parts` partitions
     matrix = communication_matrix([sizes.get(p, 0) for p in range(parts)], shards, seed)
@@ -137,7 +137,7 @@ def shuffle_into_shards(df: DataFrame, shards: int, key: Sequence[str], seed: in
     offsets = counts.select(shard, chunk, F.coalesce(F.sum(place).over(before), F.lit(0)).alias(ahead))
     inside = Window.partitionBy(shard, chunk).orderBy(again)
     return (
-        sent.join(F.broadcast(offsets), [shard, chunk])  # shards x chunks rows, at most 1024 for each shard
+        sent.join(offsets, [shard, chunk])
         .withColumn(slot, (F.col(ahead) + F.row_number().over(inside) - 1).cast("bigint"))
         .select(*[F.col(f"`{c}`") for c in df.columns if c not in (shard, slot)], shard, slot)
     )
