@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from quorumcast.catalog import score_queries  # noqa: F401  (defines shared SQL tables)
@@ -120,6 +122,25 @@ def detect_outliers(t):
     return out.detect_outliers(t.forecasts(), ALPHA)
 
 
+def dtw_ctes(prefix: str, block: str, alpha: float = ALPHA) -> None:
+    """Outliers by warping distance of another block, and the block without them."""
+    b = f"{prefix}_bounds"
+    cte(b, block, f"SELECT challenge_id, variable, min(value) AS lo, max(value) AS hi, count(DISTINCT user_id) AS n_forecasters FROM {block} GROUP BY 1, 2")
+    cte(f"{prefix}_profile", block, f"SELECT challenge_id, variable, datetime, median(value) AS mid FROM {block} GROUP BY 1, 2, 3")
+    cte(f"{prefix}_sides", f"{block} {prefix}_profile", f"""SELECT f.challenge_id, f.variable, f.user_id, f.datetime, f.value, p.mid FROM {block} f
+      JOIN {prefix}_profile p ON p.challenge_id = f.challenge_id AND p.variable = f.variable AND p.datetime = f.datetime WHERE f.value IS NOT NULL""")
+    names = {n: f"{prefix}_{n}" for n in ("sides", "bounds", "numbered", "steps", "dtw", "dtw_mid", "dtw_limits", "dtw_outliers")}
+    text = (_DTW + _DTW_OUT).replace(str(ALPHA), str(alpha))
+    text = re.sub(r"\b(" + "|".join(names) + r")\b", lambda m: names[m[0]], text)
+    before = f"{prefix}_sides {b}"
+    for part in re.split(r",\s*(?=\w+ AS \(SELECT|\w+ AS \(\n)", text):
+        name, body = part.strip().split(" AS (", 1)
+        cte(name, before, body.rsplit(")", 1)[0])
+        before = name
+    cte(f"{prefix}_kept", f"{block} {prefix}_dtw_outliers", f"""SELECT f.* FROM {block} f WHERE NOT EXISTS (SELECT 1 FROM {prefix}_dtw_outliers o
+      WHERE o.challenge_id = f.challenge_id AND o.variable = f.variable AND o.user_id = f.user_id)""")
+
+
 def rounded(df, digits=6):
     return df.withColumn("value", stable_round(F.col("value"), digits))
 

@@ -8,13 +8,13 @@ about a hundred times smaller than the block.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quorumcast.skew import HEAVY_ROWS, percentile_by
-from quorumcast.staging import stage
+from quorumcast.staging import as_is
 
 GROUP = ["resource_id", "challenge_id", "variable"]
 SLOT = [*GROUP, "datetime"]
@@ -74,28 +74,29 @@ def _with_scores(block: DataFrame, scores: DataFrame) -> DataFrame:
 
 
 def exponential_weights(block: DataFrame, scores: DataFrame, beta: float = 0.001,
-                        default_score: float = DEFAULT_SCORE) -> DataFrame:
+                        default_score: float = DEFAULT_SCORE, keep: Callable[[DataFrame, str], DataFrame] = as_is) -> DataFrame:
     """exp(-beta * score), normalised per (challenge, variable).
 
     Scores are taken relative to the best one, which leaves the ratios unchanged
     and cannot underflow for all forecasters at once; with no known score the
-    weights are equal.  The table of one row per forecaster is written once, as
+    weights are equal.  The table of one row per forecaster is worth keeping, as
     the lookback behind it would otherwise be scored again for each reader.
     """
-    known = stage(_with_scores(block, scores).withColumn("score", F.coalesce("score", F.lit(float(default_score)))), "known-scores")
+    known = keep(_with_scores(block, scores).withColumn("score", F.coalesce("score", F.lit(float(default_score)))), "known-scores")
     best = known.groupBy(*GROUP).agg(F.min("score").alias("_best"))
     raw = known.join(best, GROUP).select(*MEMBER, F.exp(F.lit(-float(beta)) * (F.col("score") - F.col("_best"))).alias("_w"))
     total = raw.groupBy(*GROUP).agg(F.sum("_w").alias("_total"))
     return raw.join(total, GROUP).select(*MEMBER, (F.col("_w") / F.col("_total")).alias("weight"))
 
 
-def score_normalised_weights(block: DataFrame, scores: DataFrame, beta: float = 0.001) -> DataFrame:
+def score_normalised_weights(block: DataFrame, scores: DataFrame, beta: float = 0.001,
+                             keep: Callable[[DataFrame, str], DataFrame] = as_is) -> DataFrame:
     """exp(-beta * score) normalised over all *scored* forecasters, then cut to those in the block.
 
     Unlike ``exponential_weights`` a scored forecaster missing from the block still
     takes its share, so the weights may sum to less than one.
     """
-    s = stage(scores.filter(F.col("score").isNotNull()).select(*MEMBER, "score"), "known-scores")
+    s = keep(scores.filter(F.col("score").isNotNull()).select(*MEMBER, "score"), "known-scores")
     best = s.groupBy(*GROUP).agg(F.min("score").alias("_best"))
     raw = s.join(best, GROUP).select(*MEMBER, F.exp(F.lit(-float(beta)) * (F.col("score") - F.col("_best"))).alias("_w"))
     total = raw.groupBy(*GROUP).agg(F.sum("_w").alias("_total"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quorumcast.functions.metrics import QUANTILES
@@ -32,12 +32,17 @@ def submission_history_gate(forecasts: DataFrame, lookback_days: int = 7, min_da
     if guard not in ("resource", "global"):
         raise ValueError("guard must be 'resource' or 'global'")
     series = ["resource_id", "user_id", "variable"]
-    # A series has at most one row per slot, so this window is bounded by the grid.
-    last = F.max("datetime").over(Window.partitionBy(*series))
-    recent = (F.col("datetime") >= F.col("_last") - minutes_interval(lookback_days * 1440)) & F.col("value").isNotNull()
+    # Per series and hour first: counts of whole hours inside the lookback add up, and in the
+    # hour of its edge the times themselves (as many as an hour has slots) are looked at.
+    hour = F.date_trunc("hour", "datetime").cast("timestamp_ntz")
+    times = forecasts.select(*series, "datetime", "value").groupBy(*series, hour.alias("_hour")).agg(
+        F.max("datetime").alias("_last"), F.count("value").alias("_n"),
+        F.collect_list(F.when(F.col("value").isNotNull(), F.col("datetime"))).alias("_times"))
+    last = times.groupBy(*series).agg(F.max("_last").alias("_end"))
+    edge = F.col("_end") - minutes_interval(lookback_days * 1440)
+    inside = F.when(F.col("_hour") >= edge, F.col("_n")).otherwise(F.size(F.filter("_times", lambda t: t >= edge)))
     per_user = (
-        forecasts.select(*series, "datetime", "value").withColumn("_last", last)
-        .groupBy(*series).agg(F.count(F.when(recent, 1)).alias("_n"))
+        times.join(last, series).groupBy(*series).agg(F.sum(inside).alias("_n"))
         .groupBy("resource_id", "user_id").agg((F.min("_n") >= min_days * slots_per_day).alias("_ok"))
     )
     if guard == "global":
@@ -47,6 +52,11 @@ def submission_history_gate(forecasts: DataFrame, lookback_days: int = 7, min_da
     return per_user.join(any_ok, "resource_id").filter(F.col("_ok") | ~F.col("_any")).select("resource_id", "user_id")
 
 
+def restrict_to_history(forecasts: DataFrame, passed: DataFrame) -> DataFrame:
+    """Forecasts of the (resource_id, user_id) pairs that passed the history gate."""
+    return forecasts.join(passed.select("resource_id", "user_id"), ["resource_id", "user_id"], "left_semi")
+
+
 def _count_of(variable: str) -> Column:
     return F.count(F.when(F.col("variable") == variable, F.col("value")))
 

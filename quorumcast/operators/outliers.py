@@ -7,6 +7,8 @@ deviation of the challenge.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,8 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from quorumcast.skew import HEAVY_ROWS, percentile_by
-from quorumcast.staging import stage
+from quorumcast.staging import as_is
 
+Keep = Callable[[DataFrame, str], DataFrame]
 BLOCK = ["challenge_id", "variable"]
 PROFILE = ["challenge_id", "variable", "user_id"]
 
@@ -81,7 +84,7 @@ def _extent() -> list[Column]:
     return [F.min("value").alias("_lo"), F.max("value").alias("_hi")]
 
 
-def dtw_distance(block: DataFrame, reference: DataFrame) -> DataFrame:
+def dtw_distance(block: DataFrame, reference: DataFrame, keep: Keep = as_is) -> DataFrame:
     """Warping distance of every profile to the reference, scaled by the block's range.
 
     Scaling both by the same range divides the distance by it, so the range is
@@ -90,21 +93,21 @@ def dtw_distance(block: DataFrame, reference: DataFrame) -> DataFrame:
     lists = _sides(block, reference).groupBy(*PROFILE).agg(
         F.array_sort(F.collect_list(F.struct("datetime", "value", "median"))).alias("_s"), *_extent()
     )
-    return _scale(lists.select(*PROFILE, _dtw(F.col("_s.value"), F.col("_s.median")).alias("_d"), "_lo", "_hi"))
+    return _scale(lists.select(*PROFILE, _dtw(F.col("_s.value"), F.col("_s.median")).alias("_d"), "_lo", "_hi"), keep)
 
 
-def euclidean_distance(block: DataFrame, reference: DataFrame) -> DataFrame:
+def euclidean_distance(block: DataFrame, reference: DataFrame, keep: Keep = as_is) -> DataFrame:
     gap = F.col("value") - F.col("median")
-    return _scale(_sides(block, reference).groupBy(*PROFILE).agg(F.sqrt(F.sum(gap * gap)).alias("_d"), *_extent()))
+    return _scale(_sides(block, reference).groupBy(*PROFILE).agg(F.sqrt(F.sum(gap * gap)).alias("_d"), *_extent()), keep)
 
 
-def _scale(raw: DataFrame) -> DataFrame:
+def _scale(raw: DataFrame, keep: Keep) -> DataFrame:
     """Divide by the range of the block, which follows from the profiles' own extents.
 
-    The unscaled distances are written once: there is one row per profile and not
+    The unscaled distances are worth keeping: there is one row per profile and not
     per slot, and the median behind them is not worked out again for the range.
     """
-    raw = stage(raw, "profile-distances")
+    raw = keep(raw, "profile-distances")
     bounds = raw.groupBy(*BLOCK).agg(
         (F.max("_hi") - F.min("_lo")).alias("_span"), F.count(F.lit(1)).alias("n_forecasters")
     )
@@ -121,26 +124,25 @@ def mad_threshold(distances: DataFrame, alpha: float, heavy_rows: int = HEAVY_RO
 
 
 def profile_distances(block: DataFrame, min_forecasters: int = 4, distance: str = "dtw",
-                      heavy_rows: int = HEAVY_ROWS) -> DataFrame:
-    """Distance of each profile of a block with enough forecasters, written once for its several readers.
+                      heavy_rows: int = HEAVY_ROWS, keep: Keep = as_is) -> DataFrame:
+    """Distance of each profile of a block with enough forecasters; ``keep`` may hold it for its several readers.
 
     Blocks with too few forecasters are small and dropped at the end, which saves
-    counting them beforehand.  The ``n_forecasters`` statistics of the written
-    table let readers skip the heavy path's scan.
+    counting them beforehand.
     """
     if distance not in ("dtw", "euclidean"):
         raise ValueError(f"unknown distance: {distance}")
     measure = dtw_distance if distance == "dtw" else euclidean_distance
-    found = measure(block, median_profile(block, heavy_rows))
-    return stage(found.filter(F.col("n_forecasters") >= min_forecasters), "block-distances")
+    found = measure(block, median_profile(block, heavy_rows), keep)
+    return keep(found.filter(F.col("n_forecasters") >= min_forecasters), "block-distances")
 
 
 def detect_outliers(block: DataFrame, alpha: float = 20.0, min_forecasters: int = 4, distance: str = "dtw",
-                    heavy_rows: int = HEAVY_ROWS) -> DataFrame:
-    """(challenge_id, variable, user_id) of outlying profiles.
+                    heavy_rows: int = HEAVY_ROWS, keep: Keep = as_is) -> DataFrame:
+    """(challenge_id, variable, user_id) of outlying profiles.  Lazy unless ``keep`` writes.
 
     Blocks with fewer than ``min_forecasters``, and constant ones, have none.
     """
-    distances = profile_distances(block, min_forecasters, distance, heavy_rows)
+    distances = profile_distances(block, min_forecasters, distance, heavy_rows, keep)
     limits = mad_threshold(distances, alpha, heavy_rows).select(*BLOCK, "threshold")
     return distances.join(limits, BLOCK).filter(F.col("distance") > F.col("threshold")).select(*PROFILE)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quorumcast.operators import ensembles as ens
 from quorumcast.operators import stacking
 from quorumcast.operators.outliers import detect_outliers
+from quorumcast.staging import as_is
 
 
 class StrategyError(Exception):
@@ -26,7 +27,9 @@ class Training:
     """What a strategy may learn from: history before each challenge.
 
     ``scores`` is (resource_id, challenge_id, variable, user_id, score) of the lookback;
-    ``outliers`` is (challenge_id, variable, user_id).  Both may be left out.
+    ``outliers`` is (challenge_id, variable, user_id).  Both may be left out; outliers
+    are then detected when a strategy asks, once per block and setting.  ``keep``
+    holds what several steps read.
     """
 
     forecasts: DataFrame | None = None
@@ -34,6 +37,17 @@ class Training:
     challenges: DataFrame | None = None
     scores: DataFrame | None = None
     outliers: DataFrame | None = None
+    keep: Callable[[DataFrame, str], DataFrame] = as_is
+    _found: dict = field(default_factory=dict)
+
+    def outliers_of(self, block: DataFrame, alpha: float, minimum: int) -> DataFrame:
+        if self.outliers is not None:
+            return self.outliers
+        key = (id(block), alpha, minimum)
+        if key not in self._found:
+            # The block is held too, so that its id is not given to another.
+            self._found[key] = (block, self.keep(detect_outliers(block, alpha, minimum, keep=self.keep), "outliers"))
+        return self._found[key][1]
 
 
 class Strategy:
@@ -141,10 +155,7 @@ class _WithoutOutliers(Strategy):
     def prepare(self, block):
         if not self.outlier_detection:
             return block
-        found = self._training.outliers if self._training else None
-        if found is None:
-            found = detect_outliers(block, self.outlier_alpha, self.min_forecasters)
-        return ens.drop_outliers(block, found)
+        return ens.drop_outliers(block, self._training.outliers_of(block, self.outlier_alpha, self.min_forecasters))
 
 
 @registry.register("arithmetic_mean")
@@ -165,7 +176,7 @@ class WeightedAverage(_WithoutOutliers):
     def block_weights(self, block, state):
         if state is None:
             return ens.equal_weights(block)
-        return ens.exponential_weights(block, state, self.beta, self.default_score)
+        return ens.exponential_weights(block, state, self.beta, self.default_score, self._training.keep)
 
 
 @registry.register("best_forecaster")
@@ -238,7 +249,7 @@ class ScoreWeighted(Strategy):
         return training.scores
 
     def block_weights(self, block, state):
-        return ens.score_normalised_weights(block, state, self.beta)
+        return ens.score_normalised_weights(block, state, self.beta, self._training.keep)
 
 
 @registry.register("inverse_score")

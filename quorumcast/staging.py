@@ -43,3 +43,8 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None, **opt
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def as_is(df: DataFrame, name: str) -> DataFrame:
+    """For callers that keep nothing: the plan itself."""
+    return df
