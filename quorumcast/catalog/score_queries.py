@@ -146,7 +146,7 @@ cte("imputed", "complete_users challenges measurements forecasts", f"""SELECT c.
   c.start_datetime, {_ZL} AS loss
   FROM (SELECT u.*, v.variable FROM complete_users u CROSS JOIN (SELECT unnest(['q10', 'q50', 'q90']) AS variable) v) k
   JOIN challenges c ON c.challenge_id = k.challenge_id
-  JOIN measurements m ON m.resource_id = c.resource_id AND m.datetime >= c.start_datetime - INTERVAL 12 DAY AND m.datetime < c.start_datetime + INTERVAL 2 DAY
+  JOIN measurements m ON m.resource_id = c.resource_id AND m.datetime < c.start_datetime + INTERVAL 2 DAY
   LEFT JOIN forecasts f ON f.resource_id = m.resource_id AND f.datetime = m.datetime AND f.user_id = k.user_id AND f.variable = k.variable""")
 _REC, _PAST = "datetime >= start_datetime - INTERVAL 6 DAY", "datetime < start_datetime - INTERVAL 6 DAY"
 
@@ -158,7 +158,7 @@ def assessment_report(t):
     from quorumcast.operators.gates import complete_quantile_forecasters
 
     valid = complete_quantile_forecasters(t.forecasts_gappy(), t.challenges(), slot_minutes=60)
-    return scoring.assessment_report(t.forecasts(), t.measurements(), t.challenges(), valid, history_days=12)
+    return scoring.assessment_report(t.forecasts(), t.measurements(), t.challenges(), valid)
 
 
 @query(with_ctes("forecasts", "SELECT * FROM forecasts WHERE variable = 'q90'"))

@@ -158,11 +158,12 @@ def daily_scores(forecasts: DataFrame, measurements: DataFrame, resources: DataF
 
 
 def assessment_report(forecasts: DataFrame, measurements: DataFrame, challenges: DataFrame, valid: DataFrame,
-                      n_days: int = 6, eval_days: int = 8, history_days: int = 31) -> DataFrame:
+                      n_days: int = 6, eval_days: int = 8, history_days: int | None = None) -> DataFrame:
     """Recent and past score of each eligible forecaster, missing forecasts counted as zero.
 
-    Recent: ``eval_days`` from ``n_days`` before the start.  Past: what lies before,
-    up to ``history_days`` before the start.  Starts must be at midnight (checked).
+    Recent: ``eval_days`` from ``n_days`` before the start.  Past: all that lies before,
+    or up to ``history_days`` before the start.  Starts must be at midnight (checked).
+    Only sums of days are joined to the challenges they precede.
 
     A missing forecast of zero has the loss of the observation alone, so per day
     the loss of "all zero" plus each series' difference to it gives the imputed
@@ -183,9 +184,14 @@ def assessment_report(forecasts: DataFrame, measurements: DataFrame, challenges:
         .groupBy("resource_id", "user_id", "variable", day.alias("datetime")).agg(F.sum(gain).alias("gain"))
     )
     start = _aligned_to(F.col("start_datetime"), 1440)
-    windows = challenges.select("challenge_id", "resource_id", start.alias("_start")).select(
-        "challenge_id", "resource_id",
-        (F.col("_start") - minutes_interval(history_days * 1440)).alias("_from"),
+    begins = challenges.select("challenge_id", "resource_id", start.alias("_start"))
+    if history_days is None:
+        first = base.groupBy("resource_id").agg(day_start(F.min("datetime")).alias("_first"))
+        begins = begins.join(first, "resource_id").withColumn("_from", F.least("_first", "_start"))
+    else:
+        begins = begins.withColumn("_from", F.col("_start") - minutes_interval(history_days * 1440))
+    windows = begins.select(
+        "challenge_id", "resource_id", "_from",
         (F.col("_start") - minutes_interval(n_days * 1440)).alias("_recent"),
         (F.col("_start") + minutes_interval((eval_days - n_days) * 1440)).alias("_to"),
     )

@@ -3,11 +3,13 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from quorumcast.catalog import registry
 
 FOLDER = "/root/testdata/sf0.001"
 
 
 def test_every_query_has_sql():
+    assert set(registry.queries()) == set(registry.oracle_sql())
     assert set(entry.queries()) >= set(entry.oracle_sql())
     assert len(entry.queries()) > 100
 
