@@ -77,7 +77,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_boilerplate(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", boilerplate.host(F.col("url")).alias("host"), boilerplate.page_text(F.col("html")).alias("text"))
-    kept = boilerplate.drop_boilerplate(pages, "host", "text")
+    kept = boilerplate.drop_boilerplate(stage(pages, "op7-text", compression="zstd"), "host", "text")
     return kept.select("page_id", "host", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
