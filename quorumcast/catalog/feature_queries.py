@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quorumcast.catalog.ctes import rnd, with_ctes
 from quorumcast.catalog.registry import query
 from quorumcast.functions.metrics import stable_round
-from quorumcast.operators import features
+from quorumcast.operators import features, scoring
 
 _W = "WINDOW w AS (PARTITION BY resource_id ORDER BY datetime)"
 
@@ -56,3 +56,27 @@ def diversity_features(t):
   {rnd('var_samp(value)', 6)} AS forecasters_var, {rnd('avg(value)', 6)} AS forecasters_mean FROM forecasts WHERE variable = 'q50' GROUP BY 1, 2, 3"""))
 def diversity_features_q50(t):
     return _rounded(features.diversity_features(t.forecasts(), quantile="q50"))
+
+
+class _Standardise(features.FeatureTransformer):
+    """Value less its resource's mean."""
+
+    def learn(self, df):
+        return df.groupBy("resource_id").agg(F.avg("value").alias("_mean"))
+
+    def apply(self, df, learnt):
+        return df.join(learnt, "resource_id").select("resource_id", "datetime", (F.col("value") - F.col("_mean")).alias("value"))
+
+
+@query(with_ctes("measurements", f"""SELECT resource_id, datetime, {rnd('value - avg(value) OVER (PARTITION BY resource_id)', 6)} AS value FROM measurements"""))
+def custom_feature_transformer(t):
+    out = features.run_steps(t.measurements(), [_Standardise()])
+    return out.withColumn("value", stable_round(F.col("value"), 6))
+
+
+@query(with_ctes("measurements forecasts", f"""SELECT f.resource_id, f.user_id, f.variable, 'max_error' AS metric, {rnd('max(abs(m.value - f.value))', 6)} AS value
+  FROM forecasts f JOIN measurements m ON m.resource_id = f.resource_id AND m.datetime = f.datetime GROUP BY 1, 2, 3"""))
+def custom_scorer(t):
+    worst = lambda observed, forecast, level: F.max(F.abs(observed - forecast))
+    out = scoring.skill_scores(t.forecasts(), t.measurements(), ("resource_id", "user_id"), metrics=(), how="inner", scorers={"max_error": worst})
+    return out.withColumn("value", stable_round(F.col("value"), 6))

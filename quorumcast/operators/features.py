@@ -82,3 +82,37 @@ def diversity_features(forecasts: DataFrame, quantile: str | None = None,
         finite(F.var_samp("value")).alias("forecasters_var"),
         finite(F.avg("value")).alias("forecasters_mean"),
     )
+
+
+class FeatureTransformer:
+    """A step that may learn from one table and is applied to another.
+
+    ``learn`` returns what is kept (a small frame of statistics, say), ``apply`` uses it.
+    """
+
+    def learn(self, df: DataFrame) -> DataFrame | None:
+        return None
+
+    def apply(self, df: DataFrame, learnt: DataFrame | None) -> DataFrame:
+        raise NotImplementedError
+
+    _fitted = False
+
+    def fit(self, df: DataFrame) -> FeatureTransformer:
+        self._learnt, self._fitted = self.learn(df), True
+        return self
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        if not self._fitted:
+            raise ValueError("fit() must come before transform()")
+        return self.apply(df, self._learnt)
+
+    def fit_transform(self, df: DataFrame) -> DataFrame:
+        return self.fit(df).transform(df)
+
+
+def run_steps(df: DataFrame, steps: Sequence[FeatureTransformer]) -> DataFrame:
+    """Fit and apply the steps one after the other."""
+    for step in steps:
+        df = step.fit_transform(df)
+    return df

@@ -7,7 +7,7 @@ All operators work for every challenge at once.  ``forecasts`` is long:
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +19,10 @@ from quorumcast.operators.grid import range_join
 SERIES = ("resource_id", "datetime")
 
 
+#: Own metric: (observed, forecast, level) to an aggregate column.
+Scorer = Callable[[Column, Column, Column], Column]
+
+
 def align(forecasts: DataFrame, measurements: DataFrame, how: str = "left") -> DataFrame:
     """Put the observed value next to each forecast.
 
@@ -45,6 +49,7 @@ def skill_scores(
     quantiles: Sequence[str] = M.QUANTILES,
     metrics: Sequence[str] = ("pinball", "rmse", "mae", "winkler"),
     how: str = "left",
+    scorers: Mapping[str, Scorer] | None = None,
 ) -> DataFrame:
     """Score rows (keys, variable, metric, value).
 
@@ -52,6 +57,9 @@ def skill_scores(
     is written to both of its bounds and left out when a bound was not submitted.
     Pairs with a missing side are skipped; with none left the value is NULL.
 
+    ``scorers`` adds own metrics by name, for every quantile: each is a function of
+    the observed column, the forecast column and the level that returns an aggregate.
+
     Quantiles are first brought side by side per slot, so the losses of all
     quantiles and the interval score come out of one partial+final aggregate.
     """
@@ -72,6 +80,9 @@ def skill_scores(
         if "pinball" in metrics:
             aggs.append(M.pinball(o, f, M.quantile_level(F.lit(q))).alias(f"pinball_{q}"))
             emit(F.col(f"any_{q}"), q, "pinball", f"pinball_{q}")
+        for name, scorer in (scorers or {}).items():
+            aggs.append(scorer(o, f, M.quantile_level(F.lit(q))).alias(f"{name}_{q}"))
+            emit(F.col(f"any_{q}"), q, name, f"{name}_{q}")
         if q == "q50":
             if "rmse" in metrics:
                 aggs.append(M.rmse(o, f).alias("rmse_q50"))

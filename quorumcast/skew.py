@@ -17,24 +17,27 @@ from pyspark.sql import functions as F
 
 HEAVY_ROWS = 1_000_000
 BUCKETS = 512
+SALTS = 32
 
 
 def _heavy_keys(df: DataFrame, keys: Sequence[str], heavy_rows: int) -> DataFrame:
-    """Keys of groups with more than ``heavy_rows`` rows, to be broadcast.
+    """Keys of groups with more than ``heavy_rows`` rows.
 
-    There can be no more than rows / heavy_rows of them (a million rows per key by
-    default), whatever the data looks like; usually there are none, and adaptive
-    execution then drops the heavy path before it reads anything.
+    Usually there are none, and adaptive execution then drops the heavy path before
+    it reads anything.
     """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return F.broadcast(counts.filter(F.col("_n") > heavy_rows).select(*keys))
+    return counts.filter(F.col("_n") > heavy_rows).select(*keys)
 
 
 def _bucketed(distinct: DataFrame, keys: Sequence[str], value: str, buckets: int) -> DataFrame:
     """Add ``_bucket``: the position of the value among per-group splitters."""
     probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
     splits = distinct.groupBy(*keys).agg(F.percentile_approx(value, probs, 10000).alias("_splits"))
-    joined = distinct.join(splits, list(keys))
+    # The rows of a group are spread over SALTS join keys, each with its own copy of the splitters.
+    splits = splits.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = distinct.withColumn("_salt", F.pmod(F.xxhash64(value), F.lit(SALTS)).cast("int"))
+    joined = salted.join(splits, [*keys, "_salt"]).drop("_salt")
     below = F.filter("_splits", lambda s: s < F.col(value))
     return joined.withColumn("_bucket", F.size(below)).drop("_splits")
 

@@ -142,3 +142,28 @@ def test_running_strategies(spark):
         assert total == pytest.approx(1), name
     with pytest.raises(st.UnknownStrategy):
         st.run_strategies(b, training, ["nope"])
+
+
+def test_operators_start_no_job(spark):
+    b = block(spark, {f"s{i}": [1 + i, 2 + i, 4 + i] for i in range(5)})
+    known = scores(spark, {f"s{i}": float(i) for i in range(5)})
+    spark.sparkContext.setJobGroup("lazy", "operators")
+    try:
+        out.detect_outliers(b)
+        ens.exponential_weights(b, known)
+        ens.score_normalised_weights(b, known)
+        ens.median_ensemble(b)
+        st.run_strategies(b, st.Training(scores=known), ["weighted_avg", "arithmetic_mean", "inverse_score"])
+        assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("lazy")) == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_outliers_are_detected_once_for_all_strategies(spark, monkeypatch):
+    b = block(spark, {f"s{i}": [1 + i, 2 + i, 4 + i] for i in range(5)})
+    calls = []
+    monkeypatch.setattr(st, "detect_outliers", lambda *a, **k: calls.append(a) or out.detect_outliers(*a, **k))
+    training = st.Training(scores=scores(spark, {f"s{i}": float(i) for i in range(5)}))
+    st.run_strategies(b, training, ["weighted_avg", "arithmetic_mean"])
+    st.strategy_weights(b, training, ["weighted_avg", "arithmetic_mean"])
+    assert len(calls) == 1
