@@ -198,22 +198,28 @@ class _Unit:
 
     def grams(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct strings and their number in training documents."""
-        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for _, _, g, train in self.pieces():
-            k, c = _counted(g, train)
-            keys, counts = _counted(np.concatenate([keys, k]), np.concatenate([counts, c]))
-        return keys, counts
+            # The mark rides in the lowest bit, so that plain sorting keeps it with its string.
+            s = np.sort(g << np.uint64(1) | train)
+            mark = (s & np.uint64(1)).astype(np.int64)
+            s >>= np.uint64(1)
+            first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+            keys.append(s[first])
+            counts.append(np.add.reduceat(mark, first))
+        return _counted(np.concatenate(keys), np.concatenate(counts))
 
     def sums(self, values: np.ndarray) -> np.ndarray:
         """Sum over each text of the values of its strings, given those of the distinct
         strings in order.  Each piece is sorted once and looked up in that order."""
-        held, keys = [], np.zeros(0, np.uint64)
+        held = []
         for a, z, g, _ in self.pieces():
             order = np.argsort(g)
             s = g[order]
             first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
             held.append((a, z, order.astype(np.int32), s[first], np.diff(np.append(first, len(s)))))
-            keys = np.union1d(keys, s[first])
+        keys = np.sort(np.concatenate([h[3] for h in held])) if held else np.zeros(0, np.uint64)
+        keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
         out = np.zeros(len(self.offsets) - 1)
         for a, z, order, distinct, times in held:
             at = np.empty(len(order))
