@@ -122,21 +122,33 @@ def session_manifest(t):
 
 
 _CHECKS = [
-    ("timezone_given", "'ok'", "NULL"), ("use_case_given", "'ok'", "NULL"),
-    ("use_case_known", "'ok'", "NULL"), ("target_present", "'ok'", "n"), ("datetime_column", "'ok'", "NULL"),
+    ("timezone_given", "CASE WHEN tz IS NULL THEN 'error' ELSE 'ok' END", "NULL"), ("use_case_given", "CASE WHEN uc IS NULL THEN 'error' ELSE 'ok' END", "NULL"),
+    ("use_case_known", "CASE WHEN uc IN ('wind_power', 'solar_power', 'load') THEN 'ok' ELSE 'warning' END", "NULL"),
+    ("target_present", "CASE WHEN n IS NULL THEN 'error' ELSE 'ok' END", "n"), ("datetime_column", "'ok'", "NULL"),
     ("column_naming", "'warning'", "1"), ("forecast_columns", "'ok'", "45"),
     ("date_range", "CASE WHEN lo + INTERVAL 8 DAY < hi - INTERVAL 1 DAY THEN 'ok' ELSE 'error' END", "date_diff('day', lo, hi)"),
-    ("missing_rate", "CASE WHEN pct <= 10 THEN 'ok' ELSE 'warning' END", "pct"),
+    ("missing_rate", "CASE WHEN pct <= 10 OR pct IS NULL THEN 'ok' ELSE 'warning' END", "pct"),
 ]
 
 
-@query(with_ctes("grid measurements_raw", "SELECT * FROM (" + " UNION ALL ".join(
+@query(with_ctes("grid measurements_raw resources", "SELECT * FROM (" + " UNION ALL ".join(
     f"SELECT resource_id, '{n}' AS \"check\", {level} AS level, CAST({detail} AS DOUBLE) AS detail FROM q" for n, level, detail in _CHECKS
 ) + ")").replace("\nSELECT * FROM (", """, q AS (SELECT g.resource_id, min(g.datetime) AS lo, max(g.datetime) AS hi, count(*) AS n,
-  round(CAST(count(*) - count(m.value) AS DOUBLE) / count(*) * 100, 1) AS pct FROM grid g
-  LEFT JOIN measurements_raw m ON m.resource_id = g.resource_id AND m.datetime = g.datetime GROUP BY 1)
+  round(CAST(count(*) - count(m.value) AS DOUBLE) / count(*) * 100, 1) AS pct, 'UTC' AS tz, 'load' AS uc FROM grid g
+  LEFT JOIN measurements_raw m ON m.resource_id = g.resource_id AND m.datetime = g.datetime GROUP BY 1
+  UNION ALL SELECT 'no_zone_' || resource_id, NULL, NULL, NULL, NULL, NULL, use_case FROM resources
+  UNION ALL SELECT 'no_use_' || resource_id, NULL, NULL, NULL, NULL, 'UTC', NULL FROM resources
+  UNION ALL SELECT 'odd_use_' || resource_id, NULL, NULL, NULL, NULL, 'UTC', 'tidal' FROM resources)
 SELECT * FROM (""", 1))
 def validate_dataset(t):
     columns = ["datetime", "note"] + [f"f{k:02d}_{q}" for k in range(1, 16) for q in ("q10", "q50", "q90")]
     series = grid.reindex(t.grid().select("resource_id", "datetime"), t.measurements_raw())
-    return gates.validate_dataset(series, columns, t.resources())
+    r = t.resources()
+    # Resources that fail: without a zone, without a use case, with an unknown one, and none has a target.
+    none = F.lit(None).cast("string")
+    bad = (
+        r.withColumn("resource_id", F.concat(F.lit("no_zone_"), "resource_id")).withColumn("timezone", none)
+        .unionByName(r.withColumn("resource_id", F.concat(F.lit("no_use_"), "resource_id")).withColumn("use_case", none))
+        .unionByName(r.withColumn("resource_id", F.concat(F.lit("odd_use_"), "resource_id")).withColumn("use_case", F.lit("tidal")))
+    )
+    return gates.validate_dataset(series, columns, r.unionByName(bad))
