@@ -14,6 +14,7 @@ from quorumcast.operators import ensembles as ens
 from quorumcast.operators import outliers as out
 from quorumcast.operators import scoring, stacking
 from quorumcast.plans import strategies as st
+from quorumcast.staging import stage
 
 ALPHA = 3.0
 DAY = 1440
@@ -66,13 +67,13 @@ def euclidean_distance(t):
 @query(with_ctes("eu_limits", f"""SELECT challenge_id, variable, {rnd('median_distance', 6)} AS median_distance, {rnd('mad', 6)} AS mad,
   {rnd(f'median_distance + {ALPHA} * mad', 6)} AS threshold FROM eu_limits""").replace("WHERE n_forecasters >= 4", ""))
 def mad_threshold(t):
-    limits = out.mad_threshold(out.profile_distances(t.forecasts(), 1, "euclidean"), ALPHA)
+    limits = out.mad_threshold(out.profile_distances(t.forecasts(), 1, "euclidean", keep=stage), ALPHA)
     return limits.select("challenge_id", "variable", *[stable_round(F.col(c), 6).alias(c) for c in ("median_distance", "mad", "threshold")])
 
 
 @query(with_ctes("eu_outliers", "SELECT * FROM eu_outliers"))
 def detect_outliers_euclidean(t):
-    return out.detect_outliers(t.forecasts(), ALPHA, distance="euclidean")
+    return out.detect_outliers(t.forecasts(), ALPHA, distance="euclidean", keep=stage)
 
 
 # Warping distance in SQL: the best path cost of a row of the cost matrix is
@@ -119,7 +120,7 @@ dtw_outliers AS (SELECT d.challenge_id, d.variable, d.user_id FROM dtw d
 
 @query(_dtw_sql(_DTW_OUT, "SELECT * FROM dtw_outliers"))
 def detect_outliers(t):
-    return out.detect_outliers(t.forecasts(), ALPHA)
+    return out.detect_outliers(t.forecasts(), ALPHA, keep=stage)
 
 
 def dtw_ctes(prefix: str, block: str, alpha: float = ALPHA) -> None:
@@ -154,13 +155,13 @@ cte("kept", "forecasts eu_outliers", """SELECT f.* FROM forecasts f WHERE NOT EX
   WHERE NOT EXISTS (SELECT 1 FROM dtw_outliers o WHERE o.challenge_id = f.challenge_id AND o.variable = f.variable AND o.user_id = f.user_id)
   GROUP BY ALL""", "sides bounds forecasts"))
 def arithmetic_mean(t):
-    return rounded(st.ArithmeticMean(outlier_alpha=ALPHA).fit(st.Training()).predict(t.forecasts()))
+    return rounded(st.ArithmeticMean(outlier_alpha=ALPHA).fit(st.Training(keep=stage)).predict(t.forecasts()))
 
 
 @query(with_ctes("kept", f"SELECT {SLOTS}, {rnd('avg(value)', 6)} AS value FROM kept GROUP BY ALL"))
 def drop_outliers_mean(t):
     f = t.forecasts()
-    found = out.detect_outliers(f, ALPHA, distance="euclidean")
+    found = out.detect_outliers(f, ALPHA, distance="euclidean", keep=stage)
     return rounded(ens.mean_ensemble(ens.drop_outliers(f, found)))
 
 
@@ -197,7 +198,7 @@ def exponential_weights(t):
 @query(with_ctes("exp_weights forecasts", weighted_sql("exp_weights")))
 def weighted_avg_no_outliers(t):
     f, scores = learned(t)
-    fitted = st.registry.get("weighted_avg", outlier_detection=False).fit(st.Training(scores=scores))
+    fitted = st.registry.get("weighted_avg", outlier_detection=False).fit(st.Training(scores=scores, keep=stage))
     return rounded(fitted.predict(f))
 
 
@@ -213,7 +214,7 @@ kept_weights AS (SELECT *, e / sum(e) OVER (PARTITION BY challenge_id, variable)
 def weighted_avg(t):
     """The production strategy: outliers by warping distance, exponential weights."""
     f, scores = learned(t)
-    fitted = st.registry.get("weighted_avg", outlier_alpha=ALPHA).fit(st.Training(scores=scores))
+    fitted = st.registry.get("weighted_avg", outlier_alpha=ALPHA).fit(st.Training(scores=scores, keep=stage))
     return rounded(fitted.predict(f))
 
 
@@ -233,7 +234,7 @@ def best_forecaster_weights(t):
   JOIN best_weights w ON w.challenge_id = f.challenge_id AND w.variable = f.variable AND w.user_id = f.user_id"""))
 def best_forecaster(t):
     f, scores = learned(t)
-    return st.registry.get("best_forecaster").fit(st.Training(scores=scores)).predict(f)
+    return st.registry.get("best_forecaster").fit(st.Training(scores=scores, keep=stage)).predict(f)
 
 
 @query(with_ctes("forecasts", f"""SELECT {SLOTS}, CASE WHEN count(value) >= 3 THEN {rnd('(sum(value) - min(value) - max(value)) / (count(value) - 2)', 6)} END AS value
@@ -246,7 +247,7 @@ def trimmed_mean(t):
   FROM forecasts GROUP BY {SLOTS}"""))
 def fixed_weights(t):
     s = st.registry.get("fixed_weights", weights={"f01": 0.5, "f02": 0.3, "f03": 0.2})
-    return rounded(s.fit(st.Training()).predict(t.forecasts()))
+    return rounded(s.fit(st.Training(keep=stage)).predict(t.forecasts()))
 
 
 cte("normalised_weights", "recent", """SELECT *, e / sum(e) OVER (PARTITION BY challenge_id, variable) AS weight FROM
@@ -256,7 +257,7 @@ cte("normalised_weights", "recent", """SELECT *, e / sum(e) OVER (PARTITION BY c
 @query(with_ctes("normalised_weights forecasts", weighted_sql("normalised_weights")))
 def score_weighted(t):
     f, scores = learned(t)
-    return rounded(st.registry.get("score_weighted").fit(st.Training(scores=scores)).predict(f))
+    return rounded(st.registry.get("score_weighted").fit(st.Training(scores=scores, keep=stage)).predict(f))
 
 
 cte("inverse_weights", "member_scores", """SELECT *, CASE WHEN total IS NULL THEN CAST(1 AS DOUBLE) / n ELSE coalesce(w, 0) / total END AS weight FROM
@@ -267,7 +268,7 @@ cte("inverse_weights", "member_scores", """SELECT *, CASE WHEN total IS NULL THE
 @query(with_ctes("inverse_weights forecasts", weighted_sql("inverse_weights")))
 def inverse_score(t):
     f, scores = learned(t)
-    return rounded(st.registry.get("inverse_score").fit(st.Training(scores=scores)).predict(f))
+    return rounded(st.registry.get("inverse_score").fit(st.Training(scores=scores, keep=stage)).predict(f))
 
 
 @query(with_ctes("members", f"""SELECT resource_id, challenge_id, variable, user_id,
@@ -319,7 +320,7 @@ def compare_strategies(t):
   UNION ALL SELECT 'median', resource_id, challenge_id, variable, user_id, {rnd('CAST(1 AS DOUBLE) / count(*) OVER (PARTITION BY challenge_id, variable)', 6)} FROM members"""))
 def strategy_weights(t):
     f, scores = learned(t)
-    w = st.strategy_weights(f, st.Training(scores=scores), ["best_forecaster", "median"])
+    w = st.strategy_weights(f, st.Training(scores=scores, keep=stage), ["best_forecaster", "median"])
     return w.withColumn("weight", stable_round(F.col("weight"), 6))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quorumcast.operators import ensembles as ens
 from quorumcast.operators import outliers as out
 from quorumcast.plans import strategies as st
+from quorumcast.staging import stage
 
 
 def scores(spark, values, variable="q50", challenge="c1"):
@@ -96,10 +97,10 @@ def test_outliers(spark, distance):
     values = {f"s{i}": [100 + i, 105 + i, 110 + i, 108 + i] for i in range(5)}
     values["odd"] = [500, 10, 500, 10]
     b = block(spark, values)
-    assert column(out.detect_outliers(b, 20.0, distance=distance), "user_id", "user_id") == ["odd"]
-    assert column(out.detect_outliers(b, 20.0, distance=distance, heavy_rows=2), "user_id", "user_id") == ["odd"]
-    assert out.detect_outliers(b, 20.0, min_forecasters=7, distance=distance).count() == 0
-    assert out.detect_outliers(block(spark, {f"s{i}": [5, 5] for i in range(5)}), distance=distance).count() == 0
+    assert column(out.detect_outliers(b, 20.0, distance=distance, keep=stage), "user_id", "user_id") == ["odd"]
+    assert column(out.detect_outliers(b, 20.0, distance=distance, heavy_rows=2, keep=stage), "user_id", "user_id") == ["odd"]
+    assert out.detect_outliers(b, 20.0, min_forecasters=7, distance=distance, keep=stage).count() == 0
+    assert out.detect_outliers(block(spark, {f"s{i}": [5, 5] for i in range(5)}), distance=distance, keep=stage).count() == 0
     with pytest.raises(ValueError):
         out.detect_outliers(b, distance="cosine")
 
@@ -132,7 +133,7 @@ def test_predict_before_fit(spark):
 
 def test_running_strategies(spark):
     b = block(spark, {"a": [1, 2], "b": [3, 4], "c": [8, 9]})
-    training = st.Training(scores=scores(spark, {"a": 1.0, "b": 2.0, "c": 3.0}))
+    training = st.Training(scores=scores(spark, {"a": 1.0, "b": 2.0, "c": 3.0}), keep=stage)
     names = ["weighted_avg", "best_forecaster", "arithmetic_mean", "score_weighted", "inverse_score"]
     made = st.run_strategies(b, training, names)
     lo_hi = b.groupBy("datetime").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
