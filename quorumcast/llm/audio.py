@@ -6,8 +6,8 @@ frames, and segments of sound by an energy threshold with hysteresis.  They are
 stored, one value per row, as an Arrow stream of fixed-shape tensors (frames x mel
 bands) with the time span of each tensor.
 
-A long recording is worked through in blocks of frames; what is held for all of it is
-one energy per frame.  Equal samples give equal features: nothing depends on the
+A long recording is worked through in blocks of frames; what is held for all of it are its
+samples, the stream of its tensors (half a byte for each sample) and one energy per frame.  Equal samples give equal features: nothing depends on the
 other rows of a batch.
 
 Defined cases: NULL counts as empty; an empty payload is padded to one unit, so there is
@@ -40,8 +40,11 @@ BLOCK_FRAMES = 4096
 #: Hysteresis thresholds between the quietest and the loudest frame, and the shortest segment kept.
 ON, OFF, SHORTEST = 0.6, 0.4, 3
 _FLOOR = 1e-6
+_OUT = 16 << 20
 
 MEDIA_SCHEMA = "id bigint, n_bytes bigint, media binary"
+TENSOR_SCHEMA = ("id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, "
+                 "media_sha256 string, rate int, tensors binary")
 FEATURE_SCHEMA = ("id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, "
                   "media_sha256 string, feature string, tensors binary")
 
@@ -136,41 +139,47 @@ def segments(energy: np.ndarray) -> list[tuple[int, int]]:
     return [(a, z) for a, z in zip(np.flatnonzero(edge > 0).tolist(), np.flatnonzero(edge < 0).tolist()) if z - a >= SHORTEST]
 
 
-def tensor_stream(frames: np.ndarray, rate: float) -> bytes:
-    """Arrow stream of fixed-shape tensors; the last is filled up with the floor."""
+def tensor_batch(frames: np.ndarray, first: int, rate: float) -> pa.RecordBatch:
+    """Fixed-shape tensors of frames from number ``first`` on; the last is filled up with the floor."""
     n = -(-len(frames) // TENSOR_FRAMES)
     whole = np.full((n * TENSOR_FRAMES, MELS), np.log(_FLOOR), np.float32)
     whole[:len(frames)] = frames
     tensors = pa.FixedShapeTensorArray.from_numpy_ndarray(whole.reshape(n, TENSOR_FRAMES, MELS))
     start = np.arange(n) * TENSOR_FRAMES
     valid = np.minimum(TENSOR_FRAMES, len(frames) - start)
-    batch = pa.RecordBatch.from_arrays(
-        [tensors, pa.array(start * HOP / rate), pa.array(((start + valid - 1) * HOP + FRAME) / rate), pa.array(valid, pa.int32())],
+    return pa.RecordBatch.from_arrays(
+        [tensors, pa.array((first + start) * HOP / rate), pa.array(((first + start + valid - 1) * HOP + FRAME) / rate), pa.array(valid, pa.int32())],
         names=["log_mel", "start_s", "end_s", "n_frames"])
-    sink = io.BytesIO()
-    with pa.ipc.new_stream(sink, batch.schema) as writer:
+
+
+def tensor_stream(samples: bytes, rate: int) -> bytes:
+    """Arrow stream of a recording's tensors, a record batch for each block of frames."""
+    sink, writer, first = io.BytesIO(), None, 0
+    for block in log_mel(np.frombuffer(samples, np.uint8), rate):
+        batch = tensor_batch(block.astype(np.float32), first, rate * UP / DOWN)
+        writer = writer or pa.ipc.new_stream(sink, batch.schema)
         writer.write_batch(batch)
+        first += len(block)
+    writer.close()
     return sink.getvalue()
 
 
-def analyse(samples: bytes, rate: int, keep_tensors: bool = False) -> tuple[str, bytes | None]:
-    """Summary of the features, and the tensors if wanted.
-
-    The summary: frames, segments, seconds of sound, and the mean of each band in
-    hundredths.
-    """
-    total, energies, kept, n = np.zeros(MELS), [], [], 0
-    for block in log_mel(np.frombuffer(samples, np.uint8), rate):
-        total += block.sum(axis=0)
-        energies.append(block.mean(axis=1))
-        n += len(block)
-        if keep_tensors:
-            kept.append(block.astype(np.float32))
-    out_rate = rate * UP / DOWN
+def summary(stream: bytes, rate: float) -> str:
+    """Frames, segments, seconds of sound, the mean of each band in hundredths, and a digest
+    of the tensors (in hundredths) and their time spans, read from a stored stream."""
+    total, energies, n, digest = np.zeros(MELS), [], 0, hashlib.sha256()
+    for batch in pa.ipc.open_stream(stream):
+        cells = batch.column("log_mel").to_numpy_ndarray()
+        frames = cells.reshape(-1, MELS)[:int(batch.column("n_frames").to_numpy().sum())].astype(np.float64)
+        total += frames.sum(axis=0)
+        energies.append(frames.mean(axis=1))
+        n += len(frames)
+        times = np.stack([batch.column(c).to_numpy() for c in ("start_s", "end_s")])
+        digest.update(np.rint(times * 1e6).astype(np.int64).tobytes() + np.rint(cells * 100).astype(np.int32).tobytes())
     spans = segments(np.concatenate(energies))
-    sound = sum(z - a for a, z in spans) * HOP / out_rate
+    sound = sum(z - a for a, z in spans) * HOP / rate
     means = ",".join(str(v) for v in np.rint(total / n * 100).astype(np.int64).tolist())
-    return f"frames={n};segments={len(spans)};sound_s={sound:.3f};mel={means}", tensor_stream(np.concatenate(kept), out_rate) if keep_tensors else None
+    return f"frames={n};segments={len(spans)};sound_s={sound:.3f};mel={means};tensors={digest.hexdigest()}"
 
 
 def media_column(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -185,22 +194,42 @@ def media_column(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
     return docs.select(F.col(id_column).cast("bigint").alias("id"), F.col(text).alias("text")).mapInArrow(kernel, MEDIA_SCHEMA)
 
 
-def features(media: DataFrame, keep_tensors: bool = True) -> DataFrame:
-    """Checksums of the stored form and of the samples read back, and their features."""
+def tensors(media: DataFrame) -> DataFrame:
+    """Checksums of the stored form and of the samples read back, and their tensors."""
 
     def kernel(batches):
         for batch in batches:
-            rows = []
-            for stored in batch.column("media"):
+            rows, held = [], 0
+            for i, n_bytes, stored in zip(*(batch.column(c) for c in ("id", "n_bytes", "media"))):
                 stored = stored.as_py()
                 payload, rate = decode(stored)
-                feature, tensors = analyse(payload, rate, keep_tensors)
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored),
-                             hashlib.sha256(stored).hexdigest(), feature, tensors))
-            cells = list(zip(*rows)) if rows else [[]] * 7
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("n_bytes"), *[pa.array(c, k) for c, k in zip(cells, kinds)]],
-                names=["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tensors"])
-
-    return media.mapInArrow(kernel, FEATURE_SCHEMA)
+                rows.append((i.as_py(), n_bytes.as_py(), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored),
+                             hashlib.sha256(stored).hexdigest(), rate, tensor_stream(payload, rate)))
+                held += len(rows[-1][-1])
+                if held > _OUT:
+                    yield _batch(rows)
+                    rows, held = [], 0
+            if rows:
+                yield _batch(rows)
+
+    def _batch(rows):
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[c.split()[0] for c in TENSOR_SCHEMA.split(", ")])
+
+    return media.mapInArrow(kernel, TENSOR_SCHEMA)
+
+
+def features(stored: DataFrame, keep_tensors: bool = True) -> DataFrame:
+    """Features of what ``tensors`` has made; of a media column, its tensors are made first."""
+    if "media" in stored.columns:
+        stored = tensors(stored)
+
+    def kernel(batches):
+        for batch in batches:
+            found = [summary(t.as_py(), r.as_py() * UP / DOWN) for t, r in zip(batch.column("tensors"), batch.column("rate"))]
+            keep = [batch.column(c) for c in head] + [pa.array(found, pa.string())]
+            yield pa.RecordBatch.from_arrays(keep + [batch.column("tensors")] * keep_tensors, names=head + ["feature"] + ["tensors"] * keep_tensors)
+
+    schema = FEATURE_SCHEMA if keep_tensors else FEATURE_SCHEMA.removesuffix(", tensors binary")
+    head = [c.split()[0] for c in FEATURE_SCHEMA.split(", ")][:-2]
+    return stored.mapInArrow(kernel, schema)

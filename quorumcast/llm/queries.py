@@ -51,7 +51,8 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = stage(audio.media_column(table(spark, sf_dir, "documents")), "op4-media", compression="zstd")
-    return audio.features(media, keep_tensors=False).withColumnRenamed("id", "doc_id").drop("tensors")
+    stored = stage(audio.tensors(media), "op4-tensors", compression="zstd")
+    return audio.features(stored, keep_tensors=False).withColumnRenamed("id", "doc_id")
 
 
 def op5_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
