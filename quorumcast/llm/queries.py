@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorumcast.llm import audio, block_anchors, boilerplate, langid, mixing, positional_index, ppm, sharding, simhash_links, suffix_dedup
+from quorumcast.llm import audio, block_anchors, boilerplate, byte_bpe, langid, mixing, positional_index, ppm, sharding, simhash_links, suffix_dedup
 from quorumcast.shipping import ship
 from quorumcast.staging import stage
 
@@ -82,6 +82,15 @@ def op7_boilerplate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("page_id", "host", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    both = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents"), ranks), ranks)
+    return both.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -90,7 +99,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     named = [op1_sharding, op2_block_anchors, op3_suffix_dedup, op4_audio, op5_ppm, op6_positional_index,
-             op7_boilerplate, op8_language_id, op9_mixing, op10_simhash, pipeline]
+             op7_boilerplate, op8_language_id, op9_mixing, op10_simhash, op13_byte_bpe, pipeline]
     return {f.__name__: f for f in named}
 
 
