@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorumcast.llm import audio, block_anchors, boilerplate, byte_bpe, langid, mixing, positional_index, ppm, sharding, simhash_links, suffix_dedup
+from quorumcast.llm import audio, block_anchors, boilerplate, byte_bpe, langid, mixing, positional_index, ppm, sharding, simhash_links, spelling, suffix_dedup
 from quorumcast.shipping import ship
 from quorumcast.staging import stage
 
@@ -82,6 +82,10 @@ def op7_boilerplate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("page_id", "host", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(stage(spelling.word_counts(table(spark, sf_dir, "documents")), "op12-words", compression="zstd"))
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -99,7 +103,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     named = [op1_sharding, op2_block_anchors, op3_suffix_dedup, op4_audio, op5_ppm, op6_positional_index,
-             op7_boilerplate, op8_language_id, op9_mixing, op10_simhash, op13_byte_bpe, pipeline]
+             op7_boilerplate, op8_language_id, op9_mixing, op10_simhash, op12_spelling, op13_byte_bpe, pipeline]
     return {f.__name__: f for f in named}
 
 
