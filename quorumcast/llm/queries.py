@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorumcast.llm import audio, block_anchors, boilerplate, byte_bpe, langid, mixing, positional_index, ppm, sharding, simhash_links, spelling, suffix_dedup
+from quorumcast.llm import audio, block_anchors, boilerplate, byte_bpe, langid, mixing, positional_index, ppm, sharding, simhash_links, spelling, suffix_dedup, turn_repair
 from quorumcast.shipping import ship
 from quorumcast.staging import stage
 
@@ -82,6 +82,18 @@ def op7_boilerplate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("page_id", "host", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    key = F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")), F.lit(":"), F.coalesce(F.col("turn").cast("string"), F.lit(" ")))
+    repaired, counts = turn_repair.repair(turn_repair.damaged(rows, F.crc32(F.encode(key, "UTF-8")) % 20))
+    done = turn_repair.digests(repaired)
+    every, of = rows.select("conv_id").distinct(), lambda df: df.withColumnRenamed("conv_id", "of")
+    same = F.col("conv_id").eqNullSafe(F.col("of"))
+    wide = every.join(of(counts), same, "left").drop("of").join(of(done), same, "left")
+    zero = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return wide.select("conv_id", *zero, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group_variants(stage(spelling.word_counts(table(spark, sf_dir, "documents")), "op12-words", compression="zstd"))
 
@@ -103,7 +115,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     named = [op1_sharding, op2_block_anchors, op3_suffix_dedup, op4_audio, op5_ppm, op6_positional_index,
-             op7_boilerplate, op8_language_id, op9_mixing, op10_simhash, op12_spelling, op13_byte_bpe, pipeline]
+             op7_boilerplate, op8_language_id, op9_mixing, op10_simhash, op11_turn_repair, op12_spelling, op13_byte_bpe, pipeline]
     return {f.__name__: f for f in named}
 
 

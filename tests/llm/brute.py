@@ -83,3 +83,48 @@ def components(fps, most=2):
                 p, q = sorted((root(a), root(b)))
                 up[q] = p
     return [root(x) for x in range(len(fps))]
+
+
+def repaired(rows):
+    """{conversation: (gaps, blank, duplicate, truncated, illegal, cost, audit, repaired lines)} of (conv, turn, role, text)
+    rows in order, trying every edit."""
+    import functools
+
+    out = {}
+    for conv in {r[0] for r in rows}:
+        mine = [(t, r, x) for c, t, r, x in rows if c == conv]
+        faults, seen = [], set()
+        for _, role, text in mine:
+            words = text.rstrip(" \t\n\x0b\f\r")
+            faults.append("blank" if not words else "duplicate" if (role, text) in seen else "truncated" if words[-1] not in ".!?" else "")
+            seen.add((role, text))
+
+        @functools.cache
+        def best(i, last, inserted):
+            """(cost, audit, lines) for the rows from i on after a row with the initial ``last``."""
+            ways = []
+            if i == len(mine) and last in ("", "a"):
+                ways.append((0, "", ()))
+            turn = "assistant" if last == "u" else "user"
+            if inserted < 3:
+                c, a, lines = best(i, turn[0], inserted + 1)
+                ways.append((c + 2, "I" + a, (turn + ":", *lines)))
+            if i < len(mine):
+                _, role, text = mine[i]
+                c, a, lines = best(i + 1, last, 0)
+                ways.append((c + 3, "D" + a, lines))
+                if faults[i] not in ("blank", "duplicate"):
+                    more = faults[i] == "truncated"
+                    if (last, role[:1]) in (("", "s"), ("", "u"), ("s", "u"), ("a", "u"), ("u", "a")):
+                        c, a, lines = best(i + 1, role[:1], 0)
+                        ways.append((c + more, "K" + a, (f"{role}:{text}", *lines)))
+                    c, a, lines = best(i + 1, turn[0], 0)
+                    ways.append((c + 2 + more, "R" + a, (f"{turn}:{text}", *lines)))
+            return min(ways, default=(10 ** 9, "", ()))
+
+        turns = [t for t, _, _ in mine if t is not None]
+        first = "".join(r[:1] or "-" for _, r, _ in mine)
+        cost, audit, lines = best(0, "", 0)
+        out[conv] = (max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0, faults.count("blank"), faults.count("duplicate"), faults.count("truncated"),
+                     sum(first[i:i + 2] not in ("su", "ua", "au") for i in range(len(first) - 1)), cost, audit, "\n".join(lines))
+    return out
