@@ -9,8 +9,9 @@ are looked up in a literal map, dealt over buckets so that a lookup stays short.
 
 Documents are packed into units of bounded size as they are read: a unit keeps the list
 of its distinct pieces and, for every document, the positions of its pieces in that list.
-Texts are read once and never shuffled; the tokens of a unit's pieces come back to it by
-a join.  A piece that every document has costs one row for each unit.
+Only these move, not the texts.  A unit asks buckets of pieces (by hash) for its list; a
+bucket is a sorted stream of pieces with the units that want them, so a piece that every
+document has costs one entry for each unit; the tokens go back packed by unit.
 
 Byte strings travel through the fold as text with one code point (0 to 255) for each byte.
 
@@ -28,16 +29,18 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quorumcast.llm.text_arrays import slices
-from quorumcast.staging import stage
+from quorumcast.llm.text_arrays import slices, word_hashes
 
 UNIT_BYTES = 32 << 20
+#: Answers a task holds before it packs them for their units.
+ENTRIES = 1 << 20
 #: Buckets of the literal rank map: a power of two.
 BUCKETS = 1 << 16
 NO_RANK = (1 << 31) - 1
@@ -107,6 +110,36 @@ def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return at[start]
 
 
+def _deflated(values: np.ndarray) -> bytes:
+    """32-bit numbers, byte plane by byte plane, compressed; four bytes of count in front."""
+    planes = np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return len(values).to_bytes(4, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def _inflated(raw: bytes) -> np.ndarray:
+    n = int.from_bytes(raw[:4], "little")
+    planes = np.frombuffer(pa.decompress(raw[4:], 4 * n, "zstd", asbytes=True) if n else b"", np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).reshape(-1).view("<u4")
+
+
+def _deflated_words(words: pa.Array) -> bytes:
+    """A binary array, compressed: lengths, then bytes."""
+    _, offsets, data = words.cast(pa.large_binary()).buffers()
+    offsets = np.frombuffer(offsets, np.int64, len(words) + 1, words.offset * 8 if words.type == pa.large_binary() else 0)
+    raw = data.slice(int(offsets[0]), int(offsets[-1] - offsets[0])).to_pybytes() if data is not None else b""
+    lengths = _deflated(np.diff(offsets))
+    return len(lengths).to_bytes(4, "little") + lengths + len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _inflated_words(raw: bytes) -> pa.Array:
+    at = 4 + int.from_bytes(raw[:4], "little")
+    lengths = _inflated(raw[4:at])
+    size = int.from_bytes(raw[at:at + 8], "little")
+    data = pa.decompress(raw[at + 8:], size, "zstd") if size else pa.py_buffer(b"")
+    offsets = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+    return pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), data])
+
+
 def _packed(unit: int, ids: list, sizes: list, pieces: list, id_type: pa.DataType) -> pa.RecordBatch:
     """One unit: its ids, pieces per document, positions of the pieces, distinct pieces (frequent ones first)."""
     coded = pa.chunked_array(pieces, pa.large_binary()).dictionary_encode()
@@ -115,12 +148,10 @@ def _packed(unit: int, ids: list, sizes: list, pieces: list, id_type: pa.DataTyp
     order = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")
     place = np.empty(len(order), np.uint32)
     place[order] = np.arange(len(order), dtype=np.uint32)
-    planes = np.ascontiguousarray(place[codes].view(np.uint8).reshape(-1, 4).T)
-    words = words.take(pa.array(order)).cast(pa.binary())
     one = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values.cast(kind))
     return pa.RecordBatch.from_arrays([
         pa.array([unit], pa.int64()), one(pa.concat_arrays(ids), id_type), one(pa.array(np.concatenate(sizes)), pa.int64()),
-        pa.array([pa.compress(planes.tobytes(), "zstd", asbytes=True)], pa.binary()), one(words, pa.binary())],
+        pa.array([_deflated(place[codes])], pa.binary()), pa.array([_deflated_words(words.take(pa.array(order)))], pa.binary())],
         names=["unit", "ids", "sizes", "codes", "words"])
 
 
@@ -146,7 +177,101 @@ def units(docs: DataFrame, id_column: str = "doc_id", text: str = "text", unit_b
             yield _packed(unit, ids, sizes, pieces, ids[0].type)
 
     return docs.select(F.col(id_column).alias("id"), F.col(text).alias("text")) \
-        .mapInArrow(kernel, f"unit bigint, ids array<{kind}>, sizes array<bigint>, codes binary, words array<binary>")
+        .mapInArrow(kernel, f"unit bigint, ids array<{kind}>, sizes array<bigint>, codes binary, words binary")
+
+
+# --- a unit's pieces go out and come back ---------------------------------------------
+
+
+def asked(packed: DataFrame, buckets: int) -> DataFrame:
+    """``bucket``, ``unit``, ``words``, ``places``: each unit's distinct pieces, one compressed list for every bucket it has
+    pieces of.  There are never more lists than pieces."""
+    def kernel(table):
+        rows = []
+        for unit, words in zip(table.column("unit").to_pylist(), table.column("words")):
+            words = _inflated_words(words.as_py())
+            words_at = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1)
+            hashed = word_hashes(np.frombuffer(words.buffers()[2], np.uint8), words_at[:-1], words_at[1:]) if len(words) else np.zeros(0, np.uint64)
+            order = pc.sort_indices(words).to_numpy()
+            bucket = (hashed[order] % np.uint64(buckets)).astype(np.int64)
+            order = order[np.argsort(bucket, kind="stable")]
+            cut = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=buckets))])
+            for b in range(buckets):
+                some = order[cut[b]:cut[b + 1]]
+                if len(some):
+                    rows.append((b, unit, _deflated_words(words.take(pa.array(some))), _deflated(some)))
+        columns = list(zip(*rows)) or [[], [], [], []]
+        return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "unit", "words", "places"])
+
+    return packed.groupBy("unit").applyInArrow(kernel, "bucket int, unit bigint, words binary, places binary")
+
+
+def gathered(lists: DataFrame) -> DataFrame:
+    """``word`` with the ``units`` that asked for it and its ``places`` there; a frequent word has several rows.
+
+    A bucket is opened, sorted (Spark spills if it must) and read as a stream."""
+    def opened(batches):
+        for batch in batches:
+            for unit, words, places in zip(batch.column("unit"), batch.column("words"), batch.column("places")):
+                words, places = _inflated_words(words.as_py()).cast(pa.binary()), _inflated(places.as_py())
+                yield pa.RecordBatch.from_arrays([words, pa.array(np.full(len(words), unit.as_py(), np.int64)), pa.array(places.astype(np.int32))],
+                                                 names=["word", "unit", "place"])
+
+    def runs(batches):
+        for batch in batches:
+            words = batch.column("word")
+            if len(words) == 0:
+                continue
+            new = np.concatenate([[True], pc.not_equal(words.slice(1), words.slice(0, len(words) - 1)).to_numpy(zero_copy_only=False)])
+            first = np.flatnonzero(new)
+            offsets = pa.array(np.append(first, len(words)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([words.take(pa.array(first)), pa.ListArray.from_arrays(offsets, batch.column("unit")),
+                                              pa.ListArray.from_arrays(offsets, batch.column("place"))], names=["word", "units", "places"])
+
+    rows = lists.repartition("bucket").select("unit", "words", "places").mapInArrow(opened, "word binary, unit bigint, place int")
+    return rows.sortWithinPartitions("word").mapInArrow(runs, "word binary, units array<bigint>, places array<int>")
+
+
+def answered(encoded: DataFrame) -> DataFrame:
+    """``unit``, ``places``, ``sizes``, ``tokens``: what a task has for a unit, compressed into one row."""
+    def packed(units, places, sizes, tokens):
+        units, places, sizes, tokens = (np.concatenate(c) for c in (units, places, sizes, tokens))
+        order = np.argsort(units, kind="stable")
+        starts = np.cumsum(sizes) - sizes
+        lengths = sizes[order]
+        ends = np.cumsum(lengths)
+        tokens = tokens[np.arange(ends[-1]) + np.repeat(starts[order] - ends + lengths, lengths)]
+        some, first = np.unique(units[order], return_index=True)
+        cut, rows = np.append(first, len(order)), []
+        for i, unit in enumerate(some.tolist()):
+            a, b = cut[i], cut[i + 1]
+            rows.append((unit, _deflated(places[order[a:b]]), _deflated(lengths[a:b]), _deflated(tokens[ends[a] - lengths[a]:ends[b - 1]])))
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), *[pa.binary()] * 3))], names=["of", "places", "sizes", "tokens"])
+
+    def kernel(batches):
+        held, parts = 0, ([], [], [], [])
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            units, found = batch.column("units"), batch.column("tokens")
+            lengths = found.value_lengths().to_numpy().astype(np.int64)
+            times = units.value_lengths().to_numpy()
+            row = np.repeat(np.arange(batch.num_rows), times)
+            starts = np.cumsum(lengths) - lengths
+            each = lengths[row]
+            ends = np.cumsum(each)
+            parts[0].append(units.flatten().to_numpy())
+            parts[1].append(batch.column("places").flatten().to_numpy())
+            parts[2].append(each)
+            parts[3].append(found.flatten().to_numpy()[np.arange(ends[-1]) + np.repeat(starts[row] - ends + each, each)])
+            held += len(row)
+            if held >= ENTRIES:
+                yield packed(*parts)
+                held, parts = 0, ([], [], [], [])
+        if held:
+            yield packed(*parts)
+
+    return encoded.select("units", "places", "tokens").mapInArrow(kernel, "of bigint, places binary, sizes binary, tokens binary")
 
 
 # --- merges -------------------------------------------------------------------------
@@ -199,34 +324,32 @@ def merged(word: Column, table: Column, buckets: int = BUCKETS) -> Column:
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], id_column: str = "doc_id", text: str = "text", unit_bytes: int = UNIT_BYTES) -> DataFrame:
     """``id_column`` and ``ids``: the token ids as little-endian 32-bit numbers, four bytes each."""
-    packed = stage(units(docs, id_column, text, unit_bytes), "bpe-units", compression="zstd")
-    entries = packed.select("unit", F.posexplode("words").alias("k", "word"))
-    encoded = entries.select("word").distinct().select("word", merged(F.col("word"), rank_map(ranks)).alias("tokens"))
-    replies = entries.join(encoded, "word").select(F.col("unit").alias("of"), "k", "tokens")
-    kind = docs.schema[id_column].dataType.simpleString()
+    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    packed = units(docs, id_column, text, unit_bytes)
+    words = gathered(asked(packed, max(16, total // unit_bytes)))
+    replies = answered(words.select("units", "places", merged(F.col("word"), rank_map(ranks)).alias("tokens")))
 
-    def kernel(unit: pa.Table, back: pa.Table):
+    def kernel(unit, back):
         if unit.num_rows == 0:
-            return pa.table({"id": pa.array([], id_type), "ids": pa.array([], pa.binary())})
-        unit, tokens = unit.combine_chunks(), back.sort_by("k").column("tokens").combine_chunks()
+            return pa.table({"id": pa.array([], pa.null()), "ids": pa.array([], pa.binary())})
+        unit = unit.combine_chunks()
         ids = unit.column("ids").chunk(0).flatten()
         sizes = unit.column("sizes").chunk(0).flatten().to_numpy()
-        n = int(sizes.sum())
-        planes = np.frombuffer(pa.decompress(unit.column("codes")[0].as_buffer(), 4 * n, "zstd", asbytes=True) if n else b"", np.uint8)
-        codes = np.ascontiguousarray(planes.reshape(4, -1).T).reshape(-1).view(np.uint32)
-        values = tokens.flatten().to_numpy().astype(np.uint32) if n else np.zeros(0, np.uint32)
-        starts = np.concatenate([[0], np.cumsum(tokens.value_lengths().to_numpy())]) if n else np.zeros(1, np.int64)
+        codes = _inflated(unit.column("codes")[0].as_py())
+        places, lengths, values = (np.concatenate([np.zeros(0, np.uint32), *(_inflated(v.as_py()) for v in back.column(c))]) for c in ("places", "sizes", "tokens"))
+        starts, length = np.zeros(len(places), np.int64), np.zeros(len(places), np.int64)
+        starts[places], length[places] = np.cumsum(lengths, dtype=np.int64) - lengths, lengths
         out, at = [], np.concatenate([[0], np.cumsum(sizes)])
         for d in range(len(sizes)):
             c = codes[at[d]:at[d + 1]]
-            lengths = starts[c + 1] - starts[c] if len(c) else np.zeros(0, np.int64)
-            ends = np.cumsum(lengths)
-            take = np.arange(ends[-1] if len(c) else 0) + np.repeat(starts[c] - ends + lengths, lengths) if len(c) else np.zeros(0, np.int64)
+            n = length[c]
+            ends = np.cumsum(n)
+            take = np.arange(ends[-1] if len(c) else 0) + np.repeat(starts[c] - ends + n, n)
             out.append(values[take].astype("<u4").tobytes())
         return pa.table({"id": ids, "ids": pa.array(out, pa.binary())})
 
-    id_type = pa.int64()  # only for units without documents, which do not occur
-    rows = packed.select("unit", "ids", "sizes", "codes").groupBy("unit").cogroup(replies.groupBy("of")).applyInArrow(kernel, f"id {kind}, ids binary")
+    # Both readers of the units take whole rows, so that Spark shuffles the units once.
+    rows = packed.groupBy("unit").cogroup(replies.groupBy("of")).applyInArrow(kernel, f"id {docs.schema[id_column].dataType.simpleString()}, ids binary")
     return rows.withColumnRenamed("id", id_column)
 
 
