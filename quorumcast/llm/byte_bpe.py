@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 
 from quorumcast.llm.text_arrays import slices, word_hashes
 
-UNIT_BYTES = 32 << 20
+UNIT_BYTES, SLICE_BYTES = 16 << 20, 1 << 20
 #: Answers a task holds before it packs them for their units.
 ENTRIES = 1 << 20
 #: Buckets of the literal rank map: a power of two.
@@ -163,7 +163,7 @@ def units(docs: DataFrame, id_column: str = "doc_id", text: str = "text", unit_b
         unit, held = TaskContext.get().partitionId() << 32, 0
         ids, sizes, pieces = [], [], []
         for batch in batches:
-            for part, data, offsets in slices(batch, "text"):
+            for part, data, offsets in slices(batch, "text", SLICE_BYTES):
                 if ids and held + len(data) > unit_bytes:
                     yield _packed(unit, ids, sizes, pieces, part.column("id").type)
                     unit, held, ids, sizes, pieces = unit + 1, 0, [], [], []
