@@ -34,7 +34,7 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None, **opt
     """Write ``df`` once as parquet and return a reader of it.  ``options`` go to the writer.
 
     Cuts the lineage, survives the loss of executors, and gives every later
-    reader column pruning and size statistics.
+    reader column pruning and size statistics.  It stays until ``clear_staged``.
     """
     spark = df.sparkSession
     path = staging_path(spark, name)
@@ -45,6 +45,32 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None, **opt
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder, wherever Spark keeps it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+class Scratch:
+    """Staged results that only lead to another result, in one folder that goes when that is there."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder = spark, staging_path(spark, name)
+
+    def stage(self, df: DataFrame, name: str, **options: str) -> DataFrame:
+        path = f"{self.folder}/{name}-{uuid.uuid4().hex[:12]}"
+        df.write.mode("errorifexists").options(**options).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        remove(self.spark, self.folder)
+
+
+def clear_staged(spark: SparkSession) -> None:
+    """Delete all this application has staged; for the end of a run, when its results are written."""
+    remove(spark, f"{staging_root(spark)}/{spark.sparkContext.applicationId}")
+
+
 def as_is(df: DataFrame, name: str) -> DataFrame:
     """For callers that keep nothing: the plan itself."""
     return df
