@@ -27,6 +27,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from quorumcast.llm import text_arrays as ta
@@ -41,7 +42,8 @@ class _Unit:
 
     def __init__(self, table: pa.Table, width: int):
         self.block = (width + 1) // 2
-        self.ids = table.column("id").to_numpy()
+        # A NULL id is larger than any.
+        self.ids = pc.fill_null(table.column("id"), np.iinfo(np.int64).max).to_numpy()
         self.data, offsets = ta.flat(table.column("text"))
         self.starts, self.ends, self.rows = ta.words(self.data, offsets, ta.PLAIN)
         self.hashes = ta.word_hashes(self.data, self.starts, self.ends)
@@ -185,7 +187,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text
             if len(a):
                 digest.update(_joined(u.data, a, b))
             digests.append(digest.hexdigest())
-        return pa.table({"doc_id": pa.array(u.ids, pa.int64()), "n_words": pa.array(np.diff(u.rows), pa.int64()),
+        return pa.table({"doc_id": table.column("id").cast(pa.int64()), "n_words": pa.array(np.diff(u.rows), pa.int64()),
                          "n_removed": pa.array(ta.sums(removed, u.rows), pa.int64()), "kept_sha256": pa.array(digests, pa.string())})
 
     lists = units.answer(units.send(rows, first), meet)

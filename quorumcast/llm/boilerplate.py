@@ -4,8 +4,8 @@ The pages of a host that contain a line, divided by all pages of the host, is th
 line's frequency there.  Lines above a ratio are boilerplate of that site and are
 dropped; what is common on one site may stay on another.
 
-A page counts once for a line however often it holds it.  A line needs ``least_pages``
-pages too, or the lines of a host with a single page would all go.
+A page counts once for a line however often it holds it.  A line must be on more than one
+page, or the lines of a host with a single page would all go; all else the ratio decides.
 
 Defined cases: NULL and empty texts have no lines; NULL hosts are one site; lines are
 compared trimmed, and empty ones are not counted and not kept; repeated pages count as
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RATIO = 0.2
-LEAST_PAGES = 3
+LEAST_PAGES = 2
 #: A line of a host is spread over so many join keys, as a line may be on very many pages.
 SPREAD = 16
 

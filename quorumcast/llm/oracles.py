@@ -102,7 +102,7 @@ seen AS (SELECT r, coalesce(host, '') AS site, unnest(list_distinct(own)) AS lin
 sites AS (SELECT coalesce(host, '') AS site, count(*) AS held FROM split GROUP BY 1),
 common AS (
   SELECT site, line FROM (SELECT site, line, count(*) AS n FROM seen GROUP BY site, line) JOIN sites USING (site)
-  WHERE n >= 3 AND n > 0.2::DOUBLE * held),
+  WHERE n >= 2 AND n > 0.2::DOUBLE * held),
 lines AS (SELECT r, site, line, i FROM (
   SELECT r, coalesce(host, '') AS site, unnest(own) AS line, unnest(range(1, len(own) + 1)) AS i FROM split)),
 kept AS (

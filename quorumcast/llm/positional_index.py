@@ -13,8 +13,9 @@ characters, with A-Z lower-cased.  They are compared by 64-bit hash; a false
 phrase needs as many simultaneous collisions as it has words.
 
 Defined cases: NULL and empty texts have no words and no hits; a test item without
-words is skipped, one shorter than the window is one window; repeated documents
-give one row each; empty tables give no rows (documents) or no hits (benchmark).
+words is skipped, one shorter than the window is one window, and one without an id
+hits like any other but is not among the items hit; documents with NULL ids and
+repeated documents give one row each; empty tables give no rows (documents) or no hits (benchmark).
 Only the named columns are read.
 """
 
@@ -89,7 +90,7 @@ def blocks(benchmark: DataFrame, item: str, text: str, block_words: int = BLOCK_
     n, any_block = 0, False
     for name, body in benchmark.select(F.col(item).cast("string"), text).toLocalIterator():
         h = hashed_terms(body)
-        if len(h) == 0 or name is None:
+        if len(h) == 0:
             continue
         held.append((name, h))
         n += len(h)
@@ -114,10 +115,9 @@ def build_index(docs: DataFrame, vocabulary: np.ndarray, id_column: str = "doc_i
                 order = np.argsort(term.astype(np.int32), kind="stable")
                 terms, first = np.unique(term[order], return_index=True)
                 ends = np.append(first[1:], len(order)) if len(terms) else first
-                cells = (part.column("id").to_numpy(zero_copy_only=False), part.column("k").to_numpy(zero_copy_only=False), word_offsets,
-                         terms.astype(np.int32), ends.astype(np.int32), position[order].astype(np.int32))
+                cells = (part.column("id"), part.column("k"), word_offsets, terms.astype(np.int32), ends.astype(np.int32), position[order].astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), pa.array(c, kind))
+                    [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), pa.array(c, kind) if isinstance(c, np.ndarray) else c)
                      for c, kind in zip(cells, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))],
                     names=["ids", "keys", "word_offsets", "terms", "ends", "positions"])
 
@@ -166,8 +166,8 @@ def match(index: DataFrame, tests: TestWindows) -> DataFrame:
     def kernel(batches):
         for batch in batches:
             for ids, keys, word_offsets, terms, ends, positions in zip(*[batch.column(i) for i in range(6)]):
-                ids, keys, word_offsets, terms, ends, positions = (
-                    x.values.to_numpy(zero_copy_only=False) for x in (ids, keys, word_offsets, terms, ends, positions))
+                ids, keys = ids.values, keys.values
+                word_offsets, terms, ends, positions = (x.values.to_numpy(zero_copy_only=False) for x in (word_offsets, terms, ends, positions))
                 n_words = int(word_offsets[-1]) if len(word_offsets) else 0
                 change = np.zeros(n_words + 1, np.int64)
                 found: dict[int, set[str]] = {}
@@ -177,7 +177,7 @@ def match(index: DataFrame, tests: TestWindows) -> DataFrame:
                         np.add.at(change, start + tests.lengths[window], -1)
                         row = np.searchsorted(word_offsets, start, "right") - 1
                         for r, w in set(zip(row.tolist(), window.tolist())):
-                            found.setdefault(r, set()).update(tests.items_of(w))
+                            found.setdefault(r, set()).update(x for x in tests.items_of(w) if x is not None)
                 lo, hi = ta.runs(np.cumsum(change[:n_words]) > 0, word_offsets)
                 at = np.searchsorted(lo, word_offsets)
                 shift = np.repeat(word_offsets[:-1], np.diff(at))
@@ -185,7 +185,7 @@ def match(index: DataFrame, tests: TestWindows) -> DataFrame:
                     [pa.array(lo - shift, pa.int64()), pa.array(hi - shift, pa.int64())], names=["lo", "hi"]))
                 items = pa.array([sorted(found.get(r, ())) for r in range(len(ids))], pa.list_(pa.string()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(np.diff(word_offsets), pa.int64()), spans, items],
+                    [ids, keys, pa.array(np.diff(word_offsets), pa.int64()), spans, items],
                     names=["id", "k", "n_words", "spans", "items"])
 
     return index.mapInArrow(kernel, MATCH_SCHEMA)
@@ -232,7 +232,8 @@ def proximity(index: DataFrame, tests: TestWindows, first: str, second: str, mos
     def kernel(batches):
         for batch in batches:
             for ids, word_offsets, terms, ends, positions in zip(*[batch.column(i) for i in (0, 2, 3, 4, 5)]):
-                ids, word_offsets, terms, ends, positions = (x.values.to_numpy(zero_copy_only=False) for x in (ids, word_offsets, terms, ends, positions))
+                ids = ids.values
+                word_offsets, terms, ends, positions = (x.values.to_numpy(zero_copy_only=False) for x in (word_offsets, terms, ends, positions))
                 lists = []
                 for t in (a, b):
                     at = int(np.searchsorted(terms, t))
@@ -244,6 +245,6 @@ def proximity(index: DataFrame, tests: TestWindows, first: str, second: str, mos
                 hi = np.searchsorted(two, np.minimum(one + most_words + 1, word_offsets[row + 1]))
                 near = row[hi > lo]
                 n = np.bincount(near, minlength=len(ids)) if len(near) else np.zeros(len(ids), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[n > 0], pa.int64()), pa.array(n[n > 0], pa.int64())], names=["id", "n_near"])
+                yield pa.RecordBatch.from_arrays([ids.filter(pa.array(n > 0)), pa.array(n[n > 0], pa.int64())], names=["id", "n_near"])
 
     return index.mapInArrow(kernel, "id bigint, n_near bigint")

@@ -25,6 +25,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
 ROWS_PER_PART = 1024
 MOST_PARTS = 65536
@@ -90,13 +91,35 @@ def _free_prefix(columns: Sequence[str]) -> str:
     return prefix
 
 
+def row_digest(df: DataFrame) -> Column:
+    """128 bits of all columns of a row; equal rows have equal digests."""
+    def part(field):
+        c = F.col(f"`{field.name}`")
+        text = F.to_json(F.struct(c)) if isinstance(field.dataType, (ArrayType, MapType, StructType)) else c.cast("string")
+        return F.coalesce(F.concat(F.octet_length(text).cast("string"), F.lit(":"), text), F.lit("-"))
+
+    return F.md5(F.concat(*[part(f) for f in df.schema]))
+
+
+def shuffle_rows_into_shards(df: DataFrame, shards: int, seed: int = 17, shard: str = "shard", slot: str = "slot") -> DataFrame:
+    """``shuffle_into_shards`` for wide rows: digests of the rows are permuted, and the rows join their places at the end.
+
+    Equal rows may change places with each other, so one of them meets all their places; a row is moved once.
+    """
+    row = _free_prefix([*df.columns, shard, slot]) + "row"
+    known = df.withColumn(row, row_digest(df))
+    placed = shuffle_into_shards(known.select(row), shards, [row], seed, shard, slot)
+    return known.drop(shard, slot).dropDuplicates([row]).join(placed, row).drop(row)
+
+
 def shuffle_into_shards(df: DataFrame, shards: int, key: Sequence[str], seed: int = 17,
                         shard: str = "shard", slot: str = "slot") -> DataFrame:
     """Add ``shard`` (0 to ``shards`` - 1) and ``slot`` (0, 1, … inside the shard).
 
     ``key`` are the columns that tell rows apart.  The only thing the driver sees
     is one count for each of at most ``MOST_PARTS`` partitions; the matrix it sends
-    back has ``shards`` numbers for each and is broadcast, some MB at most.
+    back has ``shards`` numbers for each and is broadcast, some MB at most.  All columns
+    go through both permutations; for wide rows see ``shuffle_rows_into_shards``.
     """
     pre = _free_prefix([*df.columns, shard, slot])
     part, copy, order, again, chunk, place, upto, ahead = (

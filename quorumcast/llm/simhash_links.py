@@ -17,7 +17,7 @@ fingerprint; an empty table gives an empty result.  Only the named columns are r
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -197,16 +197,16 @@ def edges(fps: DataFrame) -> DataFrame:
     return variants.select("key", "fp").mapInArrow(kernel, "a bigint, b bigint")
 
 
-def components(links: DataFrame, name: str = "components") -> DataFrame:
+def components(links: DataFrame, name: str = "components", hold: Callable[..., DataFrame] = stage) -> DataFrame:
     """``node`` and ``root`` (the smallest node reachable) for every node with an edge.
 
     Labels spread along edges and jump to their label's label, so the number of
     rounds grows with the logarithm of the longest chain.  Every round is
-    written to the shared folder.
+    written to the shared folder by ``hold``.
     """
     ways = F.explode(F.array(F.struct(F.col("a"), F.col("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("way")
-    both = stage(links.select(ways).select("way.a", "way.b").distinct(), f"{name}-edges")
-    labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low"))
+    both = hold(links.select(ways).select("way.a", "way.b").distinct(), f"{name}-edges")
+    labels = hold(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low"))
                    .select("node", F.least("node", "low").alias("root")), f"{name}-0")
     step = 0
     while True:
@@ -214,7 +214,7 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("root").alias("low"))
         spread = labels.join(near, labels["node"] == near["a"]).select("node", F.col("root").alias("was"), F.least("root", "low").alias("root"))
         jump = labels.select(F.col("node").alias("root"), F.col("root").alias("further"))
-        new = stage(spread.join(jump, "root", "left").select("node", "was", F.least("root", "further").alias("root")), f"{name}-{step}")
+        new = hold(spread.join(jump, "root", "left").select("node", "was", F.least("root", "further").alias("root")), f"{name}-{step}")
         if new.filter("root <> was").isEmpty():
             return new.select("node", "root")
         labels = new.select("node", "root")

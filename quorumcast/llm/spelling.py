@@ -3,8 +3,8 @@
 The trie is a table of edges dealt over the cluster; a node is the 64-bit hash of its
 prefix together with the number of letters still to come.  The frontier holds states
 (word, position, node, edits): a word starts on its own path with no edits, spends its one
-edit (a letter left out, or another letter the node has), and from then on every join with
-the edges must match.  The state carries hashes of the letters still to match.
+edit (a letter left out, or another letter the node has before the same next letters), and
+from then on every join with the edges must match.  The state carries hashes of the letters still to match.
 
 * Edges come in strides of 1, 2, 4, … letters, and a state takes the stride that is the
   lowest set bit of the letters left, so words of n letters need about log n levels, and
@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quorumcast.llm.text_arrays import _powers, mix
@@ -112,15 +112,6 @@ def ends(words: DataFrame) -> DataFrame:
     return _mapped(words, rows, "node bigint, word string")
 
 
-def letters(words: DataFrame) -> DataFrame:
-    """Edges of one letter: ``node``, ``other`` (the letter), ``child``."""
-    def rows(s, _):
-        word, at, left = s.back_half()
-        return [pa.array(s.node(s.first[word], at, left)), pa.array(s.letters[at].astype(np.int32)), pa.array(s.node(s.first[word], at + 1, left - 1))]
-
-    return _mapped(words, rows, "node bigint, other int, child bigint").distinct()
-
-
 def strides(words: DataFrame) -> DataFrame:
     """Edges of 1, 2, 4, … letters: ``node``, ``label``, ``child``; and one at each end that stays there."""
     def rows(s, _):
@@ -130,16 +121,21 @@ def strides(words: DataFrame) -> DataFrame:
 
     steps = _mapped(words, rows, "node bigint, label int, child bigint")
     stay = ends(words).select("node", F.lit(END).alias("label"), F.col("node").alias("child"))
-    return steps.union(stay).distinct()
+    return steps.union(stay).repartition("node", "label").distinct()
 
 
 def frontier(words: DataFrame) -> DataFrame:
-    """States without an edit: ``word`` (the node at its end), ``node``, ``letter`` (the next), ``shorter``
-    (the node if that letter is left out), ``rest`` (labels after that letter)."""
+    """States about to spend their edit on the next letter: ``word`` (the node at its end), ``node``, ``letter``, ``label`` (of
+    the stride after the letter), ``child`` (the node after that stride), ``shorter`` (the node if the letter is left
+    out), ``rest`` (labels of the strides after the first)."""
     def rows(s, _):
         word, at, left = s.back_half()
-        end = s.first[word] + s.lengths[word]
+        first, end = s.first[word], s.first[word] + s.lengths[word]
         after, n = at + 1, left - 1
+        far = after + (n & -n)
+        label, child = np.where(n > 0, s.label(after, far), END), s.node(first, far, n - (n & -n))
+        shorter = s.node(first, at, n)
+        after, n = far, n - (n & -n)
         bits = max(1, int(n.max(initial=0)).bit_length())
         labels, there = np.zeros((len(at), bits), np.int32), np.zeros((len(at), bits), bool)
         for k in range(bits):
@@ -148,11 +144,10 @@ def frontier(words: DataFrame) -> DataFrame:
             labels[some, k] = s.label(after[some], after[some] + (1 << k))
             after[some] += 1 << k
         offsets = np.concatenate([[0], np.cumsum(there.sum(axis=1))]).astype(np.int32)
-        return [pa.array(s.node(s.first[word], end, np.zeros(len(at), np.int64))), pa.array(s.node(s.first[word], at, left)),
-                pa.array(s.letters[at].astype(np.int32)), pa.array(s.node(s.first[word], at, n)),
-                pa.ListArray.from_arrays(pa.array(offsets), pa.array(labels[there]))]
+        return [pa.array(s.node(first, end, np.zeros(len(at), np.int64))), pa.array(s.node(first, at, left)), pa.array(s.letters[at].astype(np.int32)),
+                pa.array(label.astype(np.int32)), pa.array(child), pa.array(shorter), pa.ListArray.from_arrays(pa.array(offsets), pa.array(labels[there]))]
 
-    return _mapped(words, rows, "word bigint, node bigint, letter int, shorter bigint, rest array<int>")
+    return _mapped(words, rows, "word bigint, node bigint, letter int, label int, child bigint, shorter bigint, rest array<int>")
 
 
 def neighbours(words: DataFrame) -> DataFrame:
@@ -160,9 +155,14 @@ def neighbours(words: DataFrame) -> DataFrame:
     ways round.  ``words`` has a column ``word`` without repeats; it is read several times."""
     longest = words.agg(F.max(F.length("word"))).first()[0] or 0
     start, edges = frontier(words), strides(words)
-    replaced = start.join(letters(words), "node").filter("letter < other").select("word", F.col("child").alias("node"), "rest")
-    states = start.select("word", F.col("shorter").alias("node"), "rest").union(replaced)
-    for _ in range(max(1, (-(-longest // 2)).bit_length())):
+    # The other letters a node has before the same stride: one for each letter and next node, however many words go through.
+    here = Window.partitionBy("node", "label")
+    others = start.select("word", "node", "label", "letter", "child", "rest").withColumn("others", F.collect_set(F.struct("letter", "child")).over(here))
+    replaced = others.select("word", F.explode(F.filter("others", lambda o: o["letter"] > F.col("letter"))).alias("o"), "rest") \
+        .select("word", F.col("o.child").alias("node"), "rest")
+    deleted = start.select("word", F.col("shorter").alias("node"), "label", "rest").join(edges, ["node", "label"]).select("word", F.col("child").alias("node"), "rest")
+    states = deleted.union(replaced)
+    for _ in range((-(-longest // 2)).bit_length()):
         states = states.withColumn("label", F.coalesce(F.get("rest", F.lit(0)), F.lit(END))).join(edges, ["node", "label"]) \
             .select("word", F.col("child").alias("node"), F.slice("rest", 2, F.greatest(F.size("rest"), F.lit(1))).alias("rest"))
     at = ends(words)

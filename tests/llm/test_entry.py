@@ -9,15 +9,15 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from quorumcast.llm import oracles, queries
 
-from .brute import components, contamination
-from .test_texts import plain_fingerprint
+from .brute import contamination
+from .test_near_copies import kept_of_groups
 
 FOLDER = "/root/testdata/sf0.001"
 
 
 def test_each_operator_has_a_query():
     names = entry.queries()
-    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)] == [1] * 10
+    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)] == [1] * 13
     assert "pipeline" in names and set(queries.oracle_sql()) <= set(names)
 
 
@@ -51,9 +51,7 @@ def test_pipeline_stages(spark):
         if name == "language_id":
             assert sorted(kept) == sorted(r for r in rows if any(c.isalpha() for c in r[1] or ""))
         elif name == "simhash":
-            ids = sorted(texts)
-            group = components([plain_fingerprint(texts[i]) for i in ids])
-            assert sorted(r[0] for r in kept) == [ids[i] for i in sorted(set(group))]
+            assert sorted((r[0], r[1]) for r in kept) == kept_of_groups([(r[0], r[1]) for r in rows])
         elif name == "decontamination":
             bad = {i for i, n, hit, _ in contamination(list(texts.items()), bench) if hit and 20 * hit >= n}
             assert bad and sorted(r[0] for r in kept) == sorted(set(texts) - bad)
