@@ -9,9 +9,9 @@ are looked up in a literal map, dealt over buckets so that a lookup stays short.
 
 Documents are packed into units of bounded size as they are read: a unit keeps the list
 of its distinct pieces and, for every document, the positions of its pieces in that list.
-Only these move, not the texts.  A unit asks buckets of pieces (by hash) for its list; a
-bucket is a sorted stream of pieces with the units that want them, so a piece that every
-document has costs one entry for each unit; the tokens go back packed by unit.
+Only these move, not the texts.  Pieces meet in a sorted stream together with the units that
+want them, so a piece that every document has costs one row for each unit; the tokens go
+back packed by unit.
 
 Byte strings travel through the fold as text with one code point (0 to 255) for each byte.
 
@@ -36,11 +36,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quorumcast.llm.text_arrays import slices, word_hashes
+from quorumcast.llm.text_arrays import slices
 
 UNIT_BYTES, SLICE_BYTES = 16 << 20, 1 << 20
 #: Answers a task holds before it packs them for their units.
-ENTRIES = 1 << 20
+ENTRIES = 1 << 18
 #: Buckets of the literal rank map: a power of two.
 BUCKETS = 1 << 16
 NO_RANK = (1 << 31) - 1
@@ -183,40 +183,25 @@ def units(docs: DataFrame, id_column: str = "doc_id", text: str = "text", unit_b
 # --- a unit's pieces go out and come back ---------------------------------------------
 
 
-def asked(packed: DataFrame, buckets: int) -> DataFrame:
-    """``bucket``, ``unit``, ``words``, ``places``: each unit's distinct pieces, one compressed list for every bucket it has
-    pieces of.  There are never more lists than pieces."""
+def asked(packed: DataFrame) -> DataFrame:
+    """``word``, ``unit``, ``place``: the distinct pieces of every unit, sorted, which packs well."""
     def kernel(table):
-        rows = []
-        for unit, words in zip(table.column("unit").to_pylist(), table.column("words")):
-            words = _inflated_words(words.as_py())
-            words_at = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1)
-            hashed = word_hashes(np.frombuffer(words.buffers()[2], np.uint8), words_at[:-1], words_at[1:]) if len(words) else np.zeros(0, np.uint64)
-            order = pc.sort_indices(words).to_numpy()
-            bucket = (hashed[order] % np.uint64(buckets)).astype(np.int64)
-            order = order[np.argsort(bucket, kind="stable")]
-            cut = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=buckets))])
-            for b in range(buckets):
-                some = order[cut[b]:cut[b + 1]]
-                if len(some):
-                    rows.append((b, unit, _deflated_words(words.take(pa.array(some))), _deflated(some)))
-        columns = list(zip(*rows)) or [[], [], [], []]
-        return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "unit", "words", "places"])
-
-    return packed.groupBy("unit").applyInArrow(kernel, "bucket int, unit bigint, words binary, places binary")
-
-
-def gathered(lists: DataFrame) -> DataFrame:
-    """``word`` with the ``units`` that asked for it and its ``places`` there; a frequent word has several rows.
+        units, words, places = [np.zeros(0, np.int64)], [pa.array([], pa.binary())], [np.zeros(0, np.int32)]
+        for unit, packed_words in zip(table.column("unit").to_pylist(), table.column("words")):
+            here = _inflated_words(packed_words.as_py())
+            order = pc.sort_indices(here)
+            words.append(here.take(order).cast(pa.binary()))
+            places.append(order.to_numpy().astype(np.int32))
+            units.append(np.full(len(here), unit, np.int64))
+        return pa.table([pa.chunked_array(words), pa.array(np.concatenate(units)), pa.array(np.concatenate(places))], names=["word", "unit", "place"])
 
-    A bucket is opened, sorted (Spark spills if it must) and read as a stream."""
-    def opened(batches):
-        for batch in batches:
-            for unit, words, places in zip(batch.column("unit"), batch.column("words"), batch.column("places")):
-                words, places = _inflated_words(words.as_py()).cast(pa.binary()), _inflated(places.as_py())
-                yield pa.RecordBatch.from_arrays([words, pa.array(np.full(len(words), unit.as_py(), np.int64)), pa.array(places.astype(np.int32))],
-                                                 names=["word", "unit", "place"])
+    return packed.groupBy("unit").applyInArrow(kernel, "word binary, unit bigint, place int")
+
+
+def gathered(pieces: DataFrame) -> DataFrame:
+    """``word`` with the ``units`` that asked for it and its ``places`` there; a frequent word has several rows.
 
+    Equal words are neighbours in a sorted stream (Spark spills if it must)."""
     def runs(batches):
         for batch in batches:
             words = batch.column("word")
@@ -228,8 +213,7 @@ def gathered(lists: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([words.take(pa.array(first)), pa.ListArray.from_arrays(offsets, batch.column("unit")),
                                               pa.ListArray.from_arrays(offsets, batch.column("place"))], names=["word", "units", "places"])
 
-    rows = lists.repartition("bucket").select("unit", "words", "places").mapInArrow(opened, "word binary, unit bigint, place int")
-    return rows.sortWithinPartitions("word").mapInArrow(runs, "word binary, units array<bigint>, places array<int>")
+    return pieces.repartition("word").sortWithinPartitions("word").mapInArrow(runs, "word binary, units array<bigint>, places array<int>")
 
 
 def answered(encoded: DataFrame) -> DataFrame:
@@ -324,9 +308,8 @@ def merged(word: Column, table: Column, buckets: int = BUCKETS) -> Column:
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], id_column: str = "doc_id", text: str = "text", unit_bytes: int = UNIT_BYTES) -> DataFrame:
     """``id_column`` and ``ids``: the token ids as little-endian 32-bit numbers, four bytes each."""
-    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     packed = units(docs, id_column, text, unit_bytes)
-    words = gathered(asked(packed, max(16, total // unit_bytes)))
+    words = gathered(asked(packed))
     replies = answered(words.select("units", "places", merged(F.col("word"), rank_map(ranks)).alias("tokens")))
 
     def kernel(unit, back):
