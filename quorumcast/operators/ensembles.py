@@ -1,7 +1,8 @@
 """Combining forecasters into ensemble forecasts, for all challenges at once.
 
 A *block* is (resource_id, challenge_id, user_id, variable, datetime, value): the
-eligible forecasters of each challenge on its slots.  Weights are a table
+eligible forecasters of each challenge on its slots; or the same packed into profiles (see
+``profiles``), which is joined before it is unpacked.  Weights are a table
 (resource_id, challenge_id, variable, user_id, weight), one row per forecaster,
 about a hundred times smaller than the block.
 """
@@ -13,6 +14,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quorumcast.operators.profiles import unpacked
 from quorumcast.skew import HEAVY_ROWS, percentile_by
 from quorumcast.staging import as_is
 
@@ -42,7 +44,7 @@ def clip_lower(predictions: DataFrame, lower: float | None = 0.0) -> DataFrame:
 
 def combine(block: DataFrame, aggregate: Column) -> DataFrame:
     """One value per slot from an aggregate expression over the forecasters' ``value``."""
-    return block.groupBy(*SLOT).agg(aggregate.alias("value"))
+    return unpacked(block).groupBy(*SLOT).agg(aggregate.alias("value"))
 
 
 def mean_ensemble(block: DataFrame) -> DataFrame:
@@ -50,7 +52,8 @@ def mean_ensemble(block: DataFrame) -> DataFrame:
 
 
 def median_ensemble(block: DataFrame, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
-    return percentile_by(block, SLOT, "value", {"value_": 0.5}, heavy_rows).withColumnRenamed("value_", "value")
+    size = "n_forecasters" if "n_forecasters" in block.columns else None
+    return percentile_by(unpacked(block), SLOT, "value", {"value_": 0.5}, heavy_rows, size=size).withColumnRenamed("value_", "value")
 
 
 def trimmed_mean_ensemble(block: DataFrame) -> DataFrame:
@@ -139,7 +142,7 @@ def weighted_sum(block: DataFrame, weights: DataFrame) -> DataFrame:
     """Sum of weight times value per slot; NULL values and missing weights count as nothing."""
     w = weights.select("challenge_id", "variable", "user_id", "weight")
     term = F.coalesce(F.col("weight") * F.col("value"), F.lit(0.0))
-    return block.join(w, ["challenge_id", "variable", "user_id"], "left").groupBy(*SLOT).agg(F.sum(term).alias("value"))
+    return unpacked(block.join(w, ["challenge_id", "variable", "user_id"], "left")).groupBy(*SLOT).agg(F.sum(term).alias("value"))
 
 
 def compare_strategies(ensembles: DataFrame, strategies: Sequence[str]) -> DataFrame:

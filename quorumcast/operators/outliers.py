@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from quorumcast.operators.profiles import is_packed, unpacked
 from quorumcast.skew import HEAVY_ROWS, percentile_by
 from quorumcast.staging import as_is
 
@@ -46,7 +47,7 @@ def median_profile(block: DataFrame, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
     """Median per slot.  A slot has at most one value per forecaster, so the number
     of forecasters, when it is on the rows, bounds the group."""
     size = "n_forecasters" if "n_forecasters" in block.columns else None
-    return percentile_by(block, [*BLOCK, "datetime"], "value", {"median": 0.5}, heavy_rows, size=size)
+    return percentile_by(unpacked(block), [*BLOCK, "datetime"], "value", {"median": 0.5}, heavy_rows, size=size)
 
 
 def _dtw_same_shape(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -80,6 +81,17 @@ def _sides(block: DataFrame, reference: DataFrame) -> DataFrame:
     return block.filter(F.col("value").isNotNull()).join(reference, [*BLOCK, "datetime"])
 
 
+def _packed_sides(block: DataFrame, reference: DataFrame) -> DataFrame:
+    """Profiles next to the medians of their own slots: one row per block carries the reference."""
+    lines = reference.groupBy(*BLOCK).agg(F.array_sort(F.collect_list(F.struct("datetime", "median"))).alias("_ref"))
+    known = block.select(*PROFILE, F.filter("points", lambda p: p["value"].isNotNull()).alias("_p")).filter(F.size("_p") > 0)
+    times = F.transform("_p", lambda p: p["datetime"])
+    own = F.when(F.size("_ref") == F.size("_p"), F.col("_ref")).otherwise(F.filter("_ref", lambda r: F.array_contains(times, r["datetime"])))
+    return known.join(lines, BLOCK).withColumn("_own", own).select(
+        *PROFILE, F.struct(F.col("_p.value").alias("value"), F.col("_own.median").alias("median")).alias("_s"),
+        F.array_min("_p.value").alias("_lo"), F.array_max("_p.value").alias("_hi"))
+
+
 def _extent() -> list[Column]:
     return [F.min("value").alias("_lo"), F.max("value").alias("_hi")]
 
@@ -90,14 +102,18 @@ def dtw_distance(block: DataFrame, reference: DataFrame, keep: Keep = as_is) ->
     Scaling both by the same range divides the distance by it, so the range is
     applied to the result.  A list holds one challenge's slots, about a hundred.
     """
-    lists = _sides(block, reference).groupBy(*PROFILE).agg(
-        F.array_sort(F.collect_list(F.struct("datetime", "value", "median"))).alias("_s"), *_extent()
-    )
+    if is_packed(block):
+        lists = _packed_sides(block, reference)
+    else:
+        lists = _sides(block, reference).groupBy(*PROFILE).agg(
+            F.array_sort(F.collect_list(F.struct("datetime", "value", "median"))).alias("_s"), *_extent()
+        )
     return _scale(lists.select(*PROFILE, _dtw(F.col("_s.value"), F.col("_s.median")).alias("_d"), "_lo", "_hi"), keep)
 
 
 def euclidean_distance(block: DataFrame, reference: DataFrame, keep: Keep = as_is) -> DataFrame:
     gap = F.col("value") - F.col("median")
+    block = unpacked(block)
     return _scale(_sides(block, reference).groupBy(*PROFILE).agg(F.sqrt(F.sum(gap * gap)).alias("_d"), *_extent()), keep)
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from quorumcast.functions import metrics as M
 from quorumcast.functions.timegrid import day_start, elapsed_seconds, minutes_interval, slot_start, to_zone
 from quorumcast.operators.grid import range_join
+from quorumcast.operators.profiles import chunk_losses, is_packed
 
 SERIES = ("resource_id", "datetime")
 
@@ -139,9 +140,12 @@ def recent_scores(forecasts: DataFrame, measurements: DataFrame, challenges: Dat
     Each slot's loss belongs to the lookback of several challenges.  Losses are
     therefore summed per time chunk first and only the chunk sums are joined to
     the challenges; a chunk of a day makes that join 24 to 96 times smaller.
-    ``chunk_minutes`` must divide every lookback edge (checked).
+    ``chunk_minutes`` must divide every lookback edge (checked).  ``forecasts`` may be packed profiles.
     """
-    chunks = series_losses(forecasts, measurements, chunk_minutes)
+    if is_packed(forecasts):
+        chunks = chunk_losses(forecasts, measurements, chunk_minutes, slot_minutes, observation_loss)
+    else:
+        chunks = series_losses(forecasts, measurements, chunk_minutes)
     start = _aligned_to(F.col("start_datetime"), chunk_minutes)
     end = start
     if "launch_time" in challenges.columns:

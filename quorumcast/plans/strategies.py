@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quorumcast.operators import ensembles as ens
 from quorumcast.operators import stacking
 from quorumcast.operators.outliers import detect_outliers
+from quorumcast.operators.profiles import unpacked
 from quorumcast.staging import as_is
 
 
@@ -51,7 +52,12 @@ class Training:
 
 
 class Strategy:
-    """``fit`` turns the training tables into a state table, ``predict`` applies it to a block."""
+    """``fit`` turns the training tables into a state table, ``predict`` applies it to a block.
+
+    A strategy that says ``packed`` is given profiles where the caller has them; all others rows.
+    """
+
+    packed = False
 
     def __init__(self, lower: float | None = 0.0, **params):
         self.lower = lower
@@ -69,11 +75,14 @@ class Strategy:
     def predict(self, block: DataFrame) -> DataFrame:
         """(resource_id, challenge_id, variable, datetime, value)."""
         self._check_fitted()
-        return ens.clip_lower(self.predict_block(block, self._state), self.lower)
+        return ens.clip_lower(self.predict_block(self._form(block), self._state), self.lower)
 
     def weights(self, block: DataFrame) -> DataFrame:
         self._check_fitted()
-        return self.block_weights(self.prepare(block), self._state)
+        return self.block_weights(self.prepare(self._form(block)), self._state)
+
+    def _form(self, block: DataFrame) -> DataFrame:
+        return block if self.packed else unpacked(block)
 
     def _check_fitted(self) -> None:
         if not self._fitted:
@@ -145,6 +154,8 @@ registry = Registry()
 class _WithoutOutliers(Strategy):
     """Base of strategies that leave outlying profiles out first."""
 
+    packed = True
+
     def __init__(self, outlier_detection: bool = True, outlier_alpha: float = 20.0,
                  min_forecasters: int = 4, lower: float | None = 0.0, **params):
         super().__init__(lower=lower, **params)
@@ -181,6 +192,8 @@ class WeightedAverage(_WithoutOutliers):
 
 @registry.register("best_forecaster")
 class BestForecaster(Strategy):
+    packed = True
+
     def fit_state(self, training):
         if training.scores is None:
             raise StrategyError("best_forecaster needs scores to fit")
@@ -192,23 +205,29 @@ class BestForecaster(Strategy):
     def predict_block(self, block, state):
         # The chosen series itself: its NULL slots stay NULL.
         chosen = self.block_weights(block, state).select("challenge_id", "variable", "user_id")
-        return block.join(chosen, ["challenge_id", "variable", "user_id"], "left_semi").select(*ens.SLOT, "value")
+        return unpacked(block.join(chosen, ["challenge_id", "variable", "user_id"], "left_semi")).select(*ens.SLOT, "value")
 
 
 @registry.register("median")
 class Median(Strategy):
+    packed = True
+
     def predict_block(self, block, state):
         return ens.median_ensemble(block)
 
 
 @registry.register("trimmed_mean")
 class TrimmedMean(Strategy):
+    packed = True
+
     def predict_block(self, block, state):
         return ens.trimmed_mean_ensemble(block)
 
 
 @registry.register("fixed_weights")
 class FixedWeights(Strategy):
+    packed = True
+
     def __init__(self, weights: dict[str, float] | None = None, **kw):
         super().__init__(**kw)
         self.table = dict(weights or {})
@@ -239,6 +258,8 @@ class Ridge(Strategy):
 
 @registry.register("score_weighted")
 class ScoreWeighted(Strategy):
+    packed = True
+
     def __init__(self, beta: float = 0.001, **kw):
         super().__init__(**kw)
         self.beta = beta
@@ -254,6 +275,8 @@ class ScoreWeighted(Strategy):
 
 @registry.register("inverse_score")
 class InverseScore(Strategy):
+    packed = True
+
     def fit_state(self, training):
         return training.scores
 
