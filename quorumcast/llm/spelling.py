@@ -6,9 +6,9 @@ prefix together with the number of letters still to come.  The frontier holds st
 edit (a letter left out, or another letter the node has before the same next letters), and
 from then on every join with the edges must match.  The state carries hashes of the letters still to match.
 
-* Edges come in strides of 1, 2, 4, … letters, and a state takes the stride that is the
-  lowest set bit of the letters left, so words of n letters need about log n levels, and
-  a word has one edge for each position.
+* Edges come in strides of 1, 2, 4, … letters, and a state takes the longest stride that fits
+  the letters left, so words of n letters need about log n levels, a word has one edge for
+  each position, and the first level drops nearly all states that lead nowhere.
 * Edits in the back half of a word are found in the trie of the words, edits in the front
   half in the trie of the reversed words.  So edits happen at deep nodes with few children
   only, and the top of the trie, which all words share, is never fanned out.
@@ -70,6 +70,11 @@ class _Spans:
         """Node of the prefix up to a position, in the trie of words with ``left`` more letters."""
         return mix(self.span(first, upto) + mix(left.astype(np.uint64) ^ self.salt)).view(np.int64)
 
+    @staticmethod
+    def stride(left: np.ndarray) -> np.ndarray:
+        """The longest power of two of letters that fits; 0 for none."""
+        return np.where(left > 0, 1 << np.frexp(left.astype(np.float64))[1].astype(np.int64) - 1, 0)
+
     def back_half(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Word, place and letters left for every position in the back half of a word."""
         word = np.repeat(np.arange(len(self.lengths)), self.lengths)
@@ -112,42 +117,46 @@ def ends(words: DataFrame) -> DataFrame:
     return _mapped(words, rows, "node bigint, word string")
 
 
+def _edge(node: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Node and label in one number; with the END label it is the node."""
+    return node ^ (label.astype(np.int64) << 32)
+
+
 def strides(words: DataFrame) -> DataFrame:
-    """Edges of 1, 2, 4, … letters: ``node``, ``label``, ``child``; and one at each end that stays there."""
+    """Edges of 1, 2, 4, … letters: ``edge`` (node and label), ``child``; and one at each end that stays there."""
     def rows(s, _):
         word, at, left = s.back_half()
-        far = at + (left & -left)
-        return [pa.array(s.node(s.first[word], at, left)), pa.array(s.label(at, far)), pa.array(s.node(s.first[word], far, left - (left & -left)))]
+        step = s.stride(left)
+        return [pa.array(_edge(s.node(s.first[word], at, left), s.label(at, at + step))), pa.array(s.node(s.first[word], at + step, left - step))]
 
-    steps = _mapped(words, rows, "node bigint, label int, child bigint")
-    stay = ends(words).select("node", F.lit(END).alias("label"), F.col("node").alias("child"))
-    return steps.union(stay).repartition("node", "label").distinct()
+    steps = _mapped(words, rows, "edge bigint, child bigint")
+    return steps.union(ends(words).select(F.col("node").alias("edge"), F.col("node").alias("child"))).repartition("edge").distinct()
 
 
 def frontier(words: DataFrame) -> DataFrame:
-    """States about to spend their edit on the next letter: ``word`` (the node at its end), ``node``, ``letter``, ``label`` (of
-    the stride after the letter), ``child`` (the node after that stride), ``shorter`` (the node if the letter is left
-    out), ``rest`` (labels of the strides after the first)."""
+    """States about to spend their edit on the next letter: ``word`` (the node at its end), ``edge`` (its node, and the label of
+    the stride after the letter), ``letter``, ``child`` (the node after that stride), ``shorter`` (the edge if the
+    letter is left out), ``rest`` (labels of the strides after the first)."""
     def rows(s, _):
         word, at, left = s.back_half()
         first, end = s.first[word], s.first[word] + s.lengths[word]
         after, n = at + 1, left - 1
-        far = after + (n & -n)
-        label, child = np.where(n > 0, s.label(after, far), END), s.node(first, far, n - (n & -n))
-        shorter = s.node(first, at, n)
-        after, n = far, n - (n & -n)
+        step = s.stride(n)
+        label, child = np.where(n > 0, s.label(after, after + step), END).astype(np.int32), s.node(first, after + step, n - step)
+        edge, shorter = _edge(s.node(first, at, left), label), _edge(s.node(first, at, n), label)
+        after, n = after + step, n - step
         bits = max(1, int(n.max(initial=0)).bit_length())
         labels, there = np.zeros((len(at), bits), np.int32), np.zeros((len(at), bits), bool)
-        for k in range(bits):
-            some = np.flatnonzero(n >> k & 1)
+        for k in range(bits):  # the longest stride first
+            some = np.flatnonzero(n >> (bits - 1 - k) & 1)
             there[some, k] = True
-            labels[some, k] = s.label(after[some], after[some] + (1 << k))
-            after[some] += 1 << k
+            labels[some, k] = s.label(after[some], after[some] + (1 << (bits - 1 - k)))
+            after[some] += 1 << (bits - 1 - k)
         offsets = np.concatenate([[0], np.cumsum(there.sum(axis=1))]).astype(np.int32)
-        return [pa.array(s.node(first, end, np.zeros(len(at), np.int64))), pa.array(s.node(first, at, left)), pa.array(s.letters[at].astype(np.int32)),
-                pa.array(label.astype(np.int32)), pa.array(child), pa.array(shorter), pa.ListArray.from_arrays(pa.array(offsets), pa.array(labels[there]))]
+        return [pa.array(s.node(first, end, np.zeros(len(at), np.int64))), pa.array(edge), pa.array(s.letters[at].astype(np.int32)),
+                pa.array(child), pa.array(shorter), pa.ListArray.from_arrays(pa.array(offsets), pa.array(labels[there]))]
 
-    return _mapped(words, rows, "word bigint, node bigint, letter int, label int, child bigint, shorter bigint, rest array<int>")
+    return _mapped(words, rows, "word bigint, edge bigint, letter int, child bigint, shorter bigint, rest array<int>")
 
 
 def neighbours(words: DataFrame) -> DataFrame:
@@ -156,15 +165,17 @@ def neighbours(words: DataFrame) -> DataFrame:
     longest = words.agg(F.max(F.length("word"))).first()[0] or 0
     start, edges = frontier(words), strides(words)
     # The other letters a node has before the same stride: one for each letter and next node, however many words go through.
-    here = Window.partitionBy("node", "label")
-    others = start.select("word", "node", "label", "letter", "child", "rest").withColumn("others", F.collect_set(F.struct("letter", "child")).over(here))
+    others = start.select("word", "edge", "letter", "child", "rest").withColumn(
+        "others", F.collect_set(F.struct("letter", "child")).over(Window.partitionBy("edge")))
     replaced = others.select("word", F.explode(F.filter("others", lambda o: o["letter"] > F.col("letter"))).alias("o"), "rest") \
         .select("word", F.col("o.child").alias("node"), "rest")
-    deleted = start.select("word", F.col("shorter").alias("node"), "label", "rest").join(edges, ["node", "label"]).select("word", F.col("child").alias("node"), "rest")
+    deleted = start.select("word", F.col("shorter").alias("edge"), "rest").join(edges, "edge").select("word", F.col("child").alias("node"), "rest")
     states = deleted.union(replaced)
     for _ in range((-(-longest // 2)).bit_length()):
-        states = states.withColumn("label", F.coalesce(F.get("rest", F.lit(0)), F.lit(END))).join(edges, ["node", "label"]) \
-            .select("word", F.col("child").alias("node"), F.slice("rest", 2, F.greatest(F.size("rest"), F.lit(1))).alias("rest"))
+        label = F.coalesce(F.get("rest", F.lit(0)), F.lit(END)).cast("bigint")
+        states = states.select("word", F.col("node").bitwiseXOR(F.call_function("shiftleft", label, F.lit(32))).alias("edge"),
+                               F.slice("rest", 2, F.greatest(F.size("rest"), F.lit(1))).alias("rest")) \
+            .join(edges, "edge").select("word", F.col("child").alias("node"), "rest")
     at = ends(words)
     found = states.select("word", "node").distinct() \
         .join(at.select(F.col("node").alias("word"), F.col("word").alias("a")), "word") \
