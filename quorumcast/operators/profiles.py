@@ -77,15 +77,15 @@ def _last() -> Column:
     return F.element_at("points", -1)["datetime"]
 
 
-def presence(slot_minutes: int) -> Column:
-    """Bits of the slots with a value, counted from the profile's first slot, in words of 64."""
+def presence(slot_minutes: int, known_only: bool = True) -> Column:
+    """Bits of the slots with a value (or of all rows), counted from the profile's first slot, in words of 64."""
     first = _first()
 
     def place(p: Column) -> Column:
         return F.floor(F.timestamp_diff("MINUTE", first, p["datetime"]) / slot_minutes).cast("int")
 
     words = F.sequence(F.lit(0), F.floor(F.timestamp_diff("MINUTE", first, _last()) / (64 * slot_minutes)).cast("int"))
-    known = F.transform(F.filter("points", lambda p: p["value"].isNotNull()), place)
+    known = F.transform(F.filter("points", lambda p: p["value"].isNotNull()) if known_only else F.col("points"), place)
     bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(i, F.lit(64)).cast("int"))
     return F.transform(words, lambda w: F.aggregate(
         F.filter(known, lambda i: F.floor(i / 64) == w), F.lit(0).cast("bigint"), lambda bits, i: bits.bitwiseOR(bit(i))))
@@ -103,10 +103,16 @@ def _count_from(present: Column, first: Column, edge: Column, slot_minutes: int)
     return F.aggregate(F.transform(present, kept), F.lit(0).cast("bigint"), lambda n, x: n + x)
 
 
-def series_days(profiles: DataFrame, slot_minutes: int = 15) -> DataFrame:
-    """Per profile: its series, first and last slot, ``n`` and the presence bits; no values."""
+def series_days(profiles: DataFrame, slot_minutes: int = 15, with_rows: bool = False) -> DataFrame:
+    """Per profile: its series, first and last slot, ``n`` and the bits of known slots (``present``; with ``sent``, those of all rows); no values."""
+    more = [presence(slot_minutes, known_only=False).alias("sent")] if with_rows else []
     return profiles.select("resource_id", "challenge_id", "user_id", "variable", _first().alias("first"), _last().alias("last"), "n",
-                           presence(slot_minutes).alias("present"))
+                           presence(slot_minutes).alias("present"), *more)
+
+
+def pack_history(rows: DataFrame, slot_minutes: int = 15) -> DataFrame:
+    """Profiles of a history that belongs to no challenge: one for each series and day, named by the day."""
+    return pack(rows.withColumn("challenge_id", F.to_date("datetime").cast("string")), slot_minutes)
 
 
 def _passed(counts: DataFrame, keys: Sequence[str], guard: str, needed: int) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quorumcast.functions import metrics as M
 from quorumcast.functions.timegrid import day_start, elapsed_seconds, minutes_interval, slot_start, to_zone
+from quorumcast.operators.asof import sums_between
 from quorumcast.operators.grid import range_join
 from quorumcast.operators.profiles import chunk_losses, is_packed
 
@@ -178,7 +179,7 @@ def assessment_report(forecasts: DataFrame, measurements: DataFrame, challenges:
 
     Recent: ``eval_days`` from ``n_days`` before the start.  Past: all that lies before,
     or up to ``history_days`` before the start.  Starts must be at midnight (checked).
-    Only sums of days are joined to the challenges they precede.
+    Only sums of days are looked up, two for each challenge and series.
 
     A missing forecast of zero has the loss of the observation alone, so per day
     the loss of "all zero" plus each series' difference to it gives the imputed
@@ -210,17 +211,16 @@ def assessment_report(forecasts: DataFrame, measurements: DataFrame, challenges:
         (F.col("_start") - minutes_interval(n_days * 1440)).alias("_recent"),
         (F.col("_start") + minutes_interval((eval_days - n_days) * 1440)).alias("_to"),
     )
-    recent = F.col("datetime") >= F.col("_recent")
-
-    def split(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-        aggs = [F.sum(F.when(cond, F.col(c))).alias(f"{name}_{c}")
-                for c in columns for name, cond in (("recent", recent), ("past", ~recent))]
-        return range_join(df, windows, "_from", "_to", include_end=False).groupBy(*keys).agg(*aggs)
-
-    base_sums = split(base_days, ["challenge_id", "resource_id", "variable"], ["loss", "n"])
-    series_sums = split(series_days, ["challenge_id", "user_id", "variable"], ["gain"])
-    # Forecasters to report: the eligible ones of the challenge, in every quantile.
+    # Sums of days between two moments are differences of running sums, looked up as of each moment:
+    # a challenge costs its own marks and not a row for every day before it.
+    edges = ["past", "recent", "end"]
+    marks = windows.select("challenge_id", "resource_id", F.col("_from").alias("past"), F.greatest("_from", "_recent").alias("recent"), F.col("_to").alias("end"))
     asked = valid.select("challenge_id", "user_id").withColumn("variable", levels)
+    base_sums = sums_between(base_days, marks.withColumn("variable", levels), ["resource_id", "variable"], edges, "datetime", ["loss", "n"]) \
+        .filter(F.col("past_n") + F.col("recent_n") > 0)
+    series_sums = sums_between(series_days, marks.join(asked, "challenge_id"), ["resource_id", "user_id", "variable"], edges, "datetime", ["gain"]) \
+        .drop("resource_id")
+    # Forecasters to report: the eligible ones of the challenge, in every quantile.
     rows = asked.join(base_sums, ["challenge_id", "variable"]).join(
         series_sums, ["challenge_id", "user_id", "variable"], "left"
     )

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quorumcast.functions.timegrid import day_start, elapsed_seconds, minutes_interval
+from quorumcast.operators.asof import history_gate_as_of
 from quorumcast.operators.grid import make_challenges, range_join
+from quorumcast.operators.profiles import pack_history, series_days
 from quorumcast.plans.session import SessionRun, session_forecast
 from quorumcast.staging import stage
 
@@ -82,15 +84,29 @@ def assign_challenges(forecasts: DataFrame, challenges: DataFrame) -> DataFrame:
 
 def walk_forward_backtest(forecasts: DataFrame, measurements: DataFrame, resources: DataFrame, sessions: DataFrame,
                           strategies: Sequence[str], slot_minutes: int = 15, chunk_minutes: int = 15, n_score_days: int = 6,
-                          params: dict[str, dict] | None = None,
-                          keep: Callable[[DataFrame, str], DataFrame] = stage) -> tuple[DataFrame, SessionRun]:
+                          params: dict[str, dict] | None = None, continuous: DataFrame | None = None, gate: dict | None = None,
+                          horizon_days: int = 3, keep: Callable[[DataFrame, str], DataFrame] = stage) -> tuple[DataFrame, SessionRun]:
     """Run every session of the schedule in one job; returns the challenges and the run.
 
-    The lookback of a session ends at its launch, so later measurements stay unseen.
+    The lookback of a session ends at its launch, so later measurements stay unseen.  ``gate``
+    (options of the submission-history gate; None for none) is decided for each session by the
+    rows it saw: those up to its launch plus the horizon.  ``continuous`` forecasts stand in
+    for users who sent nothing complete for a session's challenge.
     """
     challenges = make_challenges(sessions, resources, slot_minutes)
+    rows = assign_challenges(forecasts, challenges)
+    history = keep(pack_history(forecasts, slot_minutes), "history")
+    eligible = None
+    if gate is not None:
+        seen = challenges.select(F.col("challenge_id").alias("session_id"), "resource_id", "launch_time")
+        days = series_days(history, slot_minutes, with_rows=True)
+        eligible = keep(history_gate_as_of(days, seen, horizon_days, slot_minutes=slot_minutes, **gate), "eligible") \
+            .withColumnRenamed("session_id", "challenge_id")
+    submissions = None
+    if continuous is not None:
+        submissions = rows.select("challenge_id", "user_id", "variable").distinct().withColumn("submission_type", F.lit("normal"))
     run = session_forecast(
-        assign_challenges(forecasts, challenges), measurements, challenges, strategies, params,
-        n_score_days, slot_minutes, chunk_minutes, keep=keep, history=forecasts,
+        rows, measurements, challenges, strategies, params, n_score_days, slot_minutes, chunk_minutes, keep=keep, history=history,
+        continuous=continuous, submissions=submissions, eligible=eligible,
     )
     return challenges, run
