@@ -9,9 +9,8 @@ are looked up in a literal map, dealt over buckets so that a lookup stays short.
 
 Documents are packed into units of bounded size as they are read: a unit keeps the list
 of its distinct pieces and, for every document, the positions of its pieces in that list.
-Only these move, not the texts.  Pieces meet in a sorted stream together with the units that
-want them, so a piece that every document has costs one row for each unit; the tokens go
-back packed by unit.
+Only these move, not the texts.  Equal pieces of all units meet in a sorted stream, so a piece
+that every document has costs one row for each unit; the tokens go back packed by unit.
 
 Byte strings travel through the fold as text with one code point (0 to 255) for each byte.
 
@@ -32,13 +31,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quorumcast.llm.text_arrays import slices
 
-UNIT_BYTES, SLICE_BYTES = 16 << 20, 1 << 20
+UNIT_BYTES, SLICE_BYTES = 32 << 20, 1 << 20
 #: Answers a task holds before it packs them for their units.
 ENTRIES = 1 << 18
 #: Buckets of the literal rank map: a power of two.
@@ -198,22 +197,11 @@ def asked(packed: DataFrame) -> DataFrame:
     return packed.groupBy("unit").applyInArrow(kernel, "word binary, unit bigint, place int")
 
 
-def gathered(pieces: DataFrame) -> DataFrame:
-    """``word`` with the ``units`` that asked for it and its ``places`` there; a frequent word has several rows.
-
-    Equal words are neighbours in a sorted stream (Spark spills if it must)."""
-    def runs(batches):
-        for batch in batches:
-            words = batch.column("word")
-            if len(words) == 0:
-                continue
-            new = np.concatenate([[True], pc.not_equal(words.slice(1), words.slice(0, len(words) - 1)).to_numpy(zero_copy_only=False)])
-            first = np.flatnonzero(new)
-            offsets = pa.array(np.append(first, len(words)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([words.take(pa.array(first)), pa.ListArray.from_arrays(offsets, batch.column("unit")),
-                                              pa.ListArray.from_arrays(offsets, batch.column("place"))], names=["word", "units", "places"])
-
-    return pieces.repartition("word").sortWithinPartitions("word").mapInArrow(runs, "word binary, units array<bigint>, places array<int>")
+def merged_once(pieces: DataFrame, table: Column) -> DataFrame:
+    """``unit``, ``place``, ``tokens``: equal pieces stand together and only the first of them is merged."""
+    same = Window.partitionBy("word")
+    first = pieces.withColumn("nth", F.row_number().over(same.orderBy("unit"))).withColumn("own", F.when(F.col("nth") == 1, merged(F.col("word"), table)))
+    return first.select("unit", "place", F.first("own", ignorenulls=True).over(same).alias("tokens"))
 
 
 def answered(encoded: DataFrame) -> DataFrame:
@@ -237,25 +225,19 @@ def answered(encoded: DataFrame) -> DataFrame:
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            units, found = batch.column("units"), batch.column("tokens")
-            lengths = found.value_lengths().to_numpy().astype(np.int64)
-            times = units.value_lengths().to_numpy()
-            row = np.repeat(np.arange(batch.num_rows), times)
-            starts = np.cumsum(lengths) - lengths
-            each = lengths[row]
-            ends = np.cumsum(each)
-            parts[0].append(units.flatten().to_numpy())
-            parts[1].append(batch.column("places").flatten().to_numpy())
-            parts[2].append(each)
-            parts[3].append(found.flatten().to_numpy()[np.arange(ends[-1]) + np.repeat(starts[row] - ends + each, each)])
-            held += len(row)
+            found = batch.column("tokens")
+            parts[0].append(batch.column("unit").to_numpy())
+            parts[1].append(batch.column("place").to_numpy())
+            parts[2].append(found.value_lengths().to_numpy().astype(np.int64))
+            parts[3].append(found.flatten().to_numpy())
+            held += batch.num_rows
             if held >= ENTRIES:
                 yield packed(*parts)
                 held, parts = 0, ([], [], [], [])
         if held:
             yield packed(*parts)
 
-    return encoded.select("units", "places", "tokens").mapInArrow(kernel, "of bigint, places binary, sizes binary, tokens binary")
+    return encoded.select("unit", "place", "tokens").mapInArrow(kernel, "of bigint, places binary, sizes binary, tokens binary")
 
 
 # --- merges -------------------------------------------------------------------------
@@ -306,15 +288,16 @@ def merged(word: Column, table: Column, buckets: int = BUCKETS) -> Column:
 # --- both ways ----------------------------------------------------------------------
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], id_column: str = "doc_id", text: str = "text", unit_bytes: int = UNIT_BYTES) -> DataFrame:
-    """``id_column`` and ``ids``: the token ids as little-endian 32-bit numbers, four bytes each."""
+def encode(docs: DataFrame, ranks: dict[bytes, int], id_column: str = "doc_id", text: str = "text", unit_bytes: int = UNIT_BYTES,
+           check: bool = False) -> DataFrame:
+    """``id_column`` and ``ids``: the token ids as little-endian 32-bit numbers, four bytes each.
+
+    With ``check`` also ``decoded``, as ``decode`` gives it, from the same tasks."""
     packed = units(docs, id_column, text, unit_bytes)
-    words = gathered(asked(packed))
-    replies = answered(words.select("units", "places", merged(F.col("word"), rank_map(ranks)).alias("tokens")))
+    replies = answered(merged_once(asked(packed), rank_map(ranks)))
+    pieces = _pieces(ranks)
 
     def kernel(unit, back):
-        if unit.num_rows == 0:
-            return pa.table({"id": pa.array([], pa.null()), "ids": pa.array([], pa.binary())})
         unit = unit.combine_chunks()
         ids = unit.column("ids").chunk(0).flatten()
         sizes = unit.column("sizes").chunk(0).flatten().to_numpy()
@@ -322,30 +305,43 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], id_column: str = "doc_id",
         places, lengths, values = (np.concatenate([np.zeros(0, np.uint32), *(_inflated(v.as_py()) for v in back.column(c))]) for c in ("places", "sizes", "tokens"))
         starts, length = np.zeros(len(places), np.int64), np.zeros(len(places), np.int64)
         starts[places], length[places] = np.cumsum(lengths, dtype=np.int64) - lengths, lengths
-        out, at = [], np.concatenate([[0], np.cumsum(sizes)])
+        out, texts, at = [], [], np.concatenate([[0], np.cumsum(sizes)])
         for d in range(len(sizes)):
             c = codes[at[d]:at[d + 1]]
             n = length[c]
             ends = np.cumsum(n)
             take = np.arange(ends[-1] if len(c) else 0) + np.repeat(starts[c] - ends + n, n)
-            out.append(values[take].astype("<u4").tobytes())
-        return pa.table({"id": ids, "ids": pa.array(out, pa.binary())})
+            tokens = values[take].astype("<u4")
+            out.append(tokens.tobytes())
+            if check:
+                texts.append(_joined(tokens, pieces))
+        columns = [ids, pa.array(out, pa.binary())] + ([pa.array(texts, pa.binary())] if check else [])
+        return pa.table(columns, names=["id", "ids", "decoded"][:len(columns)])
 
     # Both readers of the units take whole rows, so that Spark shuffles the units once.
-    rows = packed.groupBy("unit").cogroup(replies.groupBy("of")).applyInArrow(kernel, f"id {docs.schema[id_column].dataType.simpleString()}, ids binary")
-    return rows.withColumnRenamed("id", id_column)
+    schema = f"id {docs.schema[id_column].dataType.simpleString()}, ids binary" + (", decoded binary" if check else "")
+    return packed.groupBy("unit").cogroup(replies.groupBy("of")).applyInArrow(kernel, schema).withColumnRenamed("id", id_column)
 
 
-def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """Add ``decoded``: the tokens' bytes end to end, as binary."""
+def _pieces(ranks: dict[bytes, int]) -> list[bytes]:
     pieces = [b""] * (max(ranks.values(), default=-1) + 1)
     for token, rank in ranks.items():
         pieces[rank] = token
+    return pieces
+
+
+def _joined(ids: np.ndarray, pieces: list[bytes]) -> bytes:
+    return b"".join([pieces[i] for i in ids.tolist()])
+
+
+def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """Add ``decoded``: the tokens' bytes end to end, as binary."""
+    pieces = _pieces(ranks)
     schema = T.StructType([*encoded.schema.fields, T.StructField(decoded, T.BinaryType())])
 
     def kernel(batches):
         for batch in batches:
-            texts = [b"".join([pieces[i] for i in np.frombuffer(v.as_py() or b"", "<u4").tolist()]) for v in batch.column(ids)]
+            texts = [_joined(np.frombuffer(v.as_py() or b"", "<u4"), pieces) for v in batch.column(ids)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[*batch.schema.names, decoded])
 
     return encoded.mapInArrow(kernel, schema)

@@ -50,7 +50,9 @@ def test_both_ways_match_the_library(spark, rows, ranks, library, unit_bytes, mo
     texts = [r[1] for r in rows] + [odd(rng, 200) for _ in range(30)] + ["<|endoftext|>", "a" * 3000, " " * 2000 + "x", "-=" * 700, "it's we'll DON'T 'tis"]
     ids = [None if i % 9 == 0 else i // 2 for i in range(len(texts))]
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in zip(ids, texts)], "doc_id bigint, text string, ids string, unit int").repartition(3)
-    both = byte_bpe.decode(byte_bpe.encode(df, ranks, unit_bytes=unit_bytes), ranks)
+    one = byte_bpe.encode(df, ranks, unit_bytes=unit_bytes, check=True).withColumnRenamed("decoded", "same")
+    both = byte_bpe.decode(one, ranks)
+    assert both.filter("same <> decoded").count() == 0
     got = [(r.doc_id, bytes(r.ids), bytes(r.decoded), r.numbers) for r in both.withColumn("numbers", byte_bpe.as_array(F.col("ids"))).collect()]
     numbers = [library.encode_ordinary(t or "") for t in texts]
     want = [(i, np.array(n, "<u4").tobytes(), (t or "").encode(), n) for i, t, n in zip(ids, texts, numbers)]
