@@ -48,6 +48,7 @@ class _Spans:
     """Hashes of spans of the words' letters, laid end to end."""
 
     def __init__(self, words: list[str], reverse: bool):
+        self.straight = _Spans(words, False) if reverse else self
         if reverse:
             words = [w[::-1] for w in words]
         letters = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -67,8 +68,17 @@ class _Spans:
         return np.where(h == END, 1, h).astype(np.uint32).view(np.int32)
 
     def node(self, first: np.ndarray, upto: np.ndarray, left: np.ndarray) -> np.ndarray:
-        """Node of the prefix up to a position, in the trie of words with ``left`` more letters."""
-        return mix(self.span(first, upto) + mix(left.astype(np.uint64) ^ self.salt)).view(np.int64)
+        """Node of the prefix up to a position, in the trie of words with ``left`` more letters.
+
+        Where none is left the node is the word, which has the same number in both tries."""
+        inside = mix(self.span(first, upto) + mix(left.astype(np.uint64) ^ self.salt))
+        if self.straight is self:
+            return inside.view(np.int64)
+        word = np.searchsorted(self.first, first, "right") - 1
+        # Of the reversed word the first letters; of the word itself the last ones.
+        end = self.first[word] + self.lengths[word]
+        whole = mix(self.straight.span(end - (upto - first), end) + mix(np.zeros(1, np.uint64)))
+        return np.where(left == 0, whole, inside).view(np.int64)
 
     @staticmethod
     def stride(left: np.ndarray) -> np.ndarray:
@@ -97,24 +107,24 @@ def _batches(batch: pa.RecordBatch):
         yield piece
 
 
-def _mapped(words: DataFrame, rows, schema: str) -> DataFrame:
+def _mapped(words: DataFrame, rows, schema: str, sides: tuple[bool, ...] = (False, True)) -> DataFrame:
     names = [c.split()[0] for c in schema.split(", ")]
 
     def kernel(batches):
         for batch in batches:
             for piece in _batches(batch):
-                for reverse in (False, True):
+                for reverse in sides:
                     yield pa.RecordBatch.from_arrays(rows(_Spans(piece, reverse), piece), names=names)
 
     return words.select("word").mapInArrow(kernel, schema)
 
 
 def ends(words: DataFrame) -> DataFrame:
-    """The node at the end of each word, in both tries."""
+    """The node that is the word, for each word."""
     def rows(s, piece):
         return [pa.array(s.node(s.first, s.first + s.lengths, np.zeros(len(piece), np.int64))), pa.array(piece, pa.string())]
 
-    return _mapped(words, rows, "node bigint, word string")
+    return _mapped(words, rows, "node bigint, word string", (False,))
 
 
 def _edge(node: np.ndarray, label: np.ndarray) -> np.ndarray:
@@ -130,7 +140,9 @@ def strides(words: DataFrame) -> DataFrame:
         return [pa.array(_edge(s.node(s.first[word], at, left), s.label(at, at + step))), pa.array(s.node(s.first[word], at + step, left - step))]
 
     steps = _mapped(words, rows, "edge bigint, child bigint")
-    return steps.union(ends(words).select(F.col("node").alias("edge"), F.col("node").alias("child"))).repartition("edge").distinct()
+    stay = ends(words).select(F.col("node").alias("edge"), F.col("node").alias("child"))
+    # Said for all readers, or each would be given a filter and a shuffle of its own.
+    return steps.union(stay).filter("edge IS NOT NULL AND child IS NOT NULL").repartition("edge").distinct()
 
 
 def frontier(words: DataFrame) -> DataFrame:
@@ -159,9 +171,9 @@ def frontier(words: DataFrame) -> DataFrame:
     return _mapped(words, rows, "word bigint, edge bigint, letter int, child bigint, shorter bigint, rest array<int>")
 
 
-def neighbours(words: DataFrame) -> DataFrame:
-    """Pairs ``a``, ``b`` of distinct words exactly one inserted, deleted or replaced letter apart, both
-    ways round.  ``words`` has a column ``word`` without repeats; it is read several times."""
+def neighbours(words: DataFrame, *more: str) -> DataFrame:
+    """Pairs of words exactly one inserted, deleted or replaced letter apart, one way round: ``word_a``, ``word_b`` and
+    the columns ``more`` of both.  ``words`` has no repeats; it is read several times."""
     longest = words.agg(F.max(F.length("word"))).first()[0] or 0
     start, edges = frontier(words), strides(words)
     # The other letters a node has before the same stride: one for each letter and next node, however many words go through.
@@ -176,13 +188,10 @@ def neighbours(words: DataFrame) -> DataFrame:
         states = states.select("word", F.col("node").bitwiseXOR(F.call_function("shiftleft", label, F.lit(32))).alias("edge"),
                                F.slice("rest", 2, F.greatest(F.size("rest"), F.lit(1))).alias("rest")) \
             .join(edges, "edge").select("word", F.col("child").alias("node"), "rest")
-    at = ends(words)
-    found = states.select("word", "node").distinct() \
-        .join(at.select(F.col("node").alias("word"), F.col("word").alias("a")), "word") \
-        .join(at.select("node", F.col("word").alias("b")), "node") \
-        .filter(F.levenshtein("a", "b", 1) == 1).select("a", "b")
-    ways = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("way")
-    return found.select(ways).select("way.a", "way.b").distinct()
+    pairs = states.filter("word <> node").select(F.least("word", "node").alias("a"), F.greatest("word", "node").alias("b")).distinct()
+    known = ends(words).join(words.select("word", *more), "word") if more else ends(words)
+    one, other = (known.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("word", *more)]) for x in "ab")
+    return pairs.join(one, "a").join(other, "b").filter(F.levenshtein("word_a", "word_b", 1) == 1).drop("a", "b")
 
 
 def group_variants(counts: DataFrame, factor: int = FACTOR) -> DataFrame:
@@ -193,9 +202,11 @@ def group_variants(counts: DataFrame, factor: int = FACTOR) -> DataFrame:
     end; a step of the walk is one join with the table of forms, which the shared folder holds.
     """
     counts = counts.filter("word IS NOT NULL").select("word", "n")
-    near = neighbours(counts)
-    best = near.join(counts.select(F.col("word").alias("b"), "n"), "b").groupBy(F.col("a").alias("word")) \
-        .agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("n")).alias("less"), F.col("b").alias("form"))).alias("best"))
+    near = neighbours(counts, "n")
+    sides = [F.struct(*[F.col(f"{c}_{x}").alias(c) for c in ("word", "n")]) for x in "ab"]
+    ways = near.select(F.explode(F.array(F.struct(sides[0].alias("own"), sides[1].alias("near")), F.struct(sides[1].alias("own"), sides[0].alias("near")))).alias("way"))
+    best = ways.groupBy(F.col("way.own.word").alias("word")).agg(
+        F.count("*").alias("n_near"), F.min(F.struct((-F.col("way.near.n")).alias("less"), F.col("way.near.word").alias("form"))).alias("best"))
     known = counts.join(best, "word", "left")
     form = F.when(-F.col("best.less") >= F.lit(factor) * F.col("n"), F.col("best.form"))
     known = stage(known.select("word", "n", form.alias("form"), F.coalesce("n_near", F.lit(0)).cast("bigint").alias("n_near"),
