@@ -38,6 +38,8 @@ from pyspark.sql import types as T
 from quorumcast.llm.text_arrays import slices
 
 UNIT_BYTES, SLICE_BYTES = 32 << 20, 1 << 20
+#: Pieces of a unit turned into tokens at once (a longer document stands alone).
+PIECES_AT_ONCE = 1 << 18
 #: Answers a task holds before it packs them for their units.
 ENTRIES = 1 << 18
 #: Buckets of the literal rank map: a power of two.
@@ -305,18 +307,22 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], id_column: str = "doc_id",
         places, lengths, values = (np.concatenate([np.zeros(0, np.uint32), *(_inflated(v.as_py()) for v in back.column(c))]) for c in ("places", "sizes", "tokens"))
         starts, length = np.zeros(len(places), np.int64), np.zeros(len(places), np.int64)
         starts[places], length[places] = np.cumsum(lengths, dtype=np.int64) - lengths, lengths
-        out, texts, at = [], [], np.concatenate([[0], np.cumsum(sizes)])
-        for d in range(len(sizes)):
-            c = codes[at[d]:at[d + 1]]
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        # Some documents at a time, each in a batch of its own, so that neither side holds a unit's result twice.
+        batches, lo = [], 0
+        while lo < len(sizes) or not batches:
+            hi = min(len(sizes), max(lo + 1, int(np.searchsorted(at, at[lo] + PIECES_AT_ONCE, "right")) - 1))
+            c = codes[at[lo]:at[hi]]
             n = length[c]
-            ends = np.cumsum(n)
-            take = np.arange(ends[-1] if len(c) else 0) + np.repeat(starts[c] - ends + n, n)
-            tokens = values[take].astype("<u4")
-            out.append(tokens.tobytes())
+            ends = np.concatenate([[0], np.cumsum(n)])
+            tokens = values[np.arange(ends[-1]) + np.repeat(starts[c] - ends[:-1], n)].astype("<u4")
+            cut = ends[at[lo:hi + 1] - at[lo]]
+            columns = [ids.slice(lo, hi - lo), pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((4 * cut).astype(np.int32)), pa.py_buffer(tokens)])]
             if check:
-                texts.append(_joined(tokens, pieces))
-        columns = [ids, pa.array(out, pa.binary())] + ([pa.array(texts, pa.binary())] if check else [])
-        return pa.table(columns, names=["id", "ids", "decoded"][:len(columns)])
+                columns.append(pa.array([_joined(tokens[i:j], pieces) for i, j in zip(cut[:-1].tolist(), cut[1:].tolist())], pa.binary()))
+            batches.append(pa.table(columns, names=["id", "ids", "decoded"][:len(columns)]))
+            lo = hi
+        return pa.concat_tables(batches)
 
     # Both readers of the units take whole rows, so that Spark shuffles the units once.
     schema = f"id {docs.schema[id_column].dataType.simpleString()}, ids binary" + (", decoded binary" if check else "")
