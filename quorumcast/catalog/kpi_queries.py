@@ -186,7 +186,8 @@ cte("hist", "reach resid best", f"""SELECT resource_id, month, user_id, bin, cou
 
 
 def residuals_and_best(t):
-    return kpi.q50_residuals(t.forecasts(), t.measurements()), kpi.best_forecaster(kpi.league_assignment(penalised(t)))
+    return (stage(kpi.q50_residuals(t.forecasts(), t.measurements()), "residuals"),
+            stage(kpi.best_forecaster(kpi.league_assignment(penalised(t))), "best"))
 
 
 @query(with_ctes("reach hist", f"""SELECT k.resource_id, k.month, k.user_id, g.bin, {rnd('-k.reach + 2 * k.reach / 19 * g.bin')} AS bin_start,
@@ -194,7 +195,7 @@ def residuals_and_best(t):
   FROM reach k CROSS JOIN (SELECT CAST(unnest(generate_series(0, 18)) AS INTEGER) AS bin) g
   LEFT JOIN hist h ON h.resource_id = k.resource_id AND h.month = k.month AND h.user_id = k.user_id AND h.bin = g.bin"""))
 def residual_distribution(t):
-    return kpi.residual_distribution(*residuals_and_best(t))
+    return kpi.residual_distribution(*residuals_and_best(t), keep=stage)
 
 
 cte("levels", "resid", "SELECT resource_id, month, user_id, floor(min(observed)) AS lo, ceil(max(observed)) AS hi FROM resid GROUP BY 1, 2, 3")

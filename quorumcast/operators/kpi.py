@@ -6,20 +6,24 @@ All operators work for every resource, track and month at once.  ``scores`` is
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quorumcast.functions import metrics as M
+from quorumcast.operators.asof import lookup
 from quorumcast.operators.scoring import align, five_numbers, quantile_slice
 from quorumcast.skew import HEAVY_ROWS, dense_rank_by, first_k, percentile_by
+from quorumcast.staging import as_is
 
 BOARD = ["resource_id", "track", "month"]
 PLAYER = [*BOARD, "user_id"]
 MAX_PENALTY_DAYS = 5
 # What each track is judged by, (metric, variable).
 TRACKS = {"deterministic": ("rmse", "q50"), "probabilistic": ("winkler", "q90")}
+#: Ranges of the residual that a board's edges are dealt over.
+EDGE_RANGES = 64
 HISTOGRAM_BINS = 19
 POWER_BINS = 4
 
@@ -178,47 +182,65 @@ def q50_residuals(forecasts: DataFrame, measurements: DataFrame) -> DataFrame:
     ).filter(F.col("residual").isNotNull())
 
 
-def _against_best(residuals: DataFrame, best: DataFrame, per_user: DataFrame) -> DataFrame:
-    """Residuals of every user (``is_best`` false) and, once per user, those of the board's best.
-
-    ``per_user`` carries each user's bin bounds.  The best forecaster has at most
-    one row per slot of the month, so its copies are no more than the users' own
-    rows would be; the slot's day in neither key lets a skewed board be split.
-    """
-    own = residuals.join(per_user, ["resource_id", "month", "user_id"]).withColumn("is_best", F.lit(False))
+def _best_rows(residuals: DataFrame, best: DataFrame) -> DataFrame:
+    """Rows of the deterministic board's best forecaster: at most one per slot of the month."""
     b = best.filter(F.col("track") == "deterministic").select("resource_id", "month", F.col("best_user_id").alias("user_id"))
-    best_rows = residuals.join(b, ["resource_id", "month", "user_id"], "left_semi").drop("user_id")
-    copies = per_user.join(best_rows, ["resource_id", "month"]).withColumn("is_best", F.lit(True))
-    return own.unionByName(copies)
+    return residuals.join(b, ["resource_id", "month", "user_id"], "left_semi").drop("user_id")
 
 
-def residual_distribution(residuals: DataFrame, best: DataFrame, bins: int = HISTOGRAM_BINS) -> DataFrame:
+def residual_distribution(residuals: DataFrame, best: DataFrame, bins: int = HISTOGRAM_BINS,
+                          keep: Callable[[DataFrame, str], DataFrame] = as_is) -> DataFrame:
     """Histogram of each user's residuals beside the best forecaster's on the same edges.
 
     Edges are ``bins`` equal steps over +-max|residual| of both.  One row per bin,
     empty bins included; the last bin is closed on the right.
+
+    The best forecaster's rows are not copied for each user: a user's edges are looked up in
+    their running counts, in ranges of the residual, and a bin is the difference of two edges.
+    ``keep`` holds the users' reaches and the best forecaster's counts, which several steps read.
     """
-    keys = ["resource_id", "month", "user_id"]
+    board, keys = ["resource_id", "month"], ["resource_id", "month", "user_id"]
     reach = residuals.groupBy(*keys).agg(F.max(F.abs("residual")).alias("_reach"))
-    b = best.filter(F.col("track") == "deterministic").select("resource_id", "month", F.col("best_user_id").alias("user_id"))
-    best_reach = reach.join(b, keys, "left_semi").select("resource_id", "month", F.col("_reach").alias("_best_reach"))
-    bounds = reach.join(best_reach, ["resource_id", "month"], "left").select(
-        *keys, F.greatest("_reach", "_best_reach").alias("reach"), F.col("_best_reach").isNotNull().alias("has_best")
-    )
+    counted = keep(_best_rows(residuals, best).groupBy(*board, "residual").agg(F.count(F.lit(1)).alias("_n")), "best-residuals")
+    best_reach = counted.groupBy(*board).agg(F.max(F.abs("residual")).alias("_best_reach"))
+    bounds = keep(reach.join(best_reach, board, "left").select(
+        *keys, F.greatest("_reach", "_best_reach").alias("reach"), "_best_reach"), "reaches")
     step = 2 * F.col("reach") / bins
     raw = F.floor((F.col("residual") + F.col("reach")) / step)
     bin_no = F.when(F.col("reach") == 0, F.lit(bins // 2)).otherwise(F.least(F.greatest(raw, F.lit(0)), F.lit(bins - 1))).cast("int")
-    counted = (
-        _against_best(residuals, best, bounds.drop("has_best")).withColumn("bin", bin_no).groupBy(*keys, "bin")
-        .agg(F.count(F.when(~F.col("is_best"), 1)).alias("user_count"), F.count(F.when(F.col("is_best"), 1)).alias("best_count"))
-    )
+    own = residuals.join(bounds, keys).groupBy(*keys, bin_no.alias("bin")).agg(F.count(F.lit(1)).alias("user_count"))
+
+    def part(value: Column) -> Column:
+        """Range of the best forecaster's residuals a value lies in."""
+        place = F.floor((value + F.col("_best_reach")) / (2 * F.col("_best_reach")) * EDGE_RANGES)
+        return F.when(F.col("_best_reach") == 0, 0).otherwise(F.least(F.greatest(place, F.lit(0)), F.lit(EDGE_RANGES - 1))).cast("int")
+
+    counts = counted.join(best_reach, board).select(*board, "residual", part(F.col("residual")).alias("_part"), "_n")
+    per_part = counts.groupBy(*board, "_part").agg(F.sum("_n").alias("_n"))
+    parts = best_reach.select(*board, F.explode(F.sequence(F.lit(0), F.lit(EDGE_RANGES - 1))).alias("_part")).join(per_part, [*board, "_part"], "left")
+    earlier = Window.partitionBy(*board).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    opening = parts.select(*board, "_part", F.lit(float("-inf")).alias("residual"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("below"))
+    inside = Window.partitionBy(*board, "_part").orderBy("residual").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = counts.join(opening.select(*board, "_part", F.col("below").alias("_before")), [*board, "_part"]).select(
+        *board, "_part", "residual", (F.col("_before") + F.sum("_n").over(inside)).alias("below"))
+    # A residual on an edge belongs to the bin that begins there, so counts are those strictly below.
+    edge = -F.col("reach") + step * F.col("bin")
+    edges = bounds.filter(F.col("_best_reach").isNotNull() & (F.col("reach") > 0)).withColumn("bin", F.explode(F.sequence(F.lit(1), F.lit(bins - 1)))) \
+        .withColumn("residual", edge).select(*board, part(F.col("residual")).alias("_part"), "user_id", "bin", "residual")
+    seen = lookup(opening.unionByName(running), edges, [*board, "_part"], "residual", ["below"], strictly=True)
+    total = counted.groupBy(*board).agg(F.sum("_n").alias("_total"))
+    below = seen.select(*keys, "bin", "below")
     dense = bounds.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    return dense.join(counted, [*keys, "bin"], "left").select(
+    upto = below.select(*keys, (F.col("bin") - 1).alias("bin"), F.col("below").alias("_upto"))
+    wide = dense.join(own, [*keys, "bin"], "left").join(below, [*keys, "bin"], "left").join(upto, [*keys, "bin"], "left").join(total, board, "left")
+    best_count = F.when(F.col("reach") == 0, F.when(F.col("bin") == bins // 2, F.col("_total")).otherwise(0)).otherwise(
+        F.coalesce("_upto", "_total") - F.coalesce("below", F.lit(0)))
+    return wide.select(
         *keys, "bin",
         M.stable_round(-F.col("reach") + step * F.col("bin")).alias("bin_start"),
         M.stable_round(-F.col("reach") + step * (F.col("bin") + 1)).alias("bin_end"),
         F.coalesce("user_count", F.lit(0)).alias("user_count"),
-        F.when(F.col("has_best"), F.coalesce("best_count", F.lit(0))).alias("best_count"),
+        F.when(F.col("_best_reach").isNotNull(), best_count).alias("best_count"),
     )
 
 
@@ -227,8 +249,11 @@ def mse_by_power_level(residuals: DataFrame, best: DataFrame, bins: int = POWER_
 
     ``bins`` equal, right-closed levels over the whole-number range of the user's
     observations; all levels are listed, empty ones with n = 0.
+
+    Ranges are whole numbers, so a board has few of them: the best forecaster is summed up once
+    for each range and not for each user.  Their rows of the month come as one list.
     """
-    keys = ["resource_id", "month", "user_id"]
+    board, keys = ["resource_id", "month"], ["resource_id", "month", "user_id"]
     bounds = residuals.groupBy(*keys).agg(
         F.floor(F.min("observed")).cast("double").alias("lo"), F.ceil(F.max("observed")).cast("double").alias("hi")
     )
@@ -237,14 +262,17 @@ def mse_by_power_level(residuals: DataFrame, best: DataFrame, bins: int = POWER_
         F.greatest(F.ceil((F.col("observed") - F.col("lo")) / step), F.lit(1))
     ).cast("int")
     inside = (F.col("observed") >= F.col("lo")) & (F.col("observed") <= F.col("hi"))
-    rows = (
-        _against_best(residuals, best, bounds).filter(inside)
-        .withColumn("bin", F.least(level, F.lit(bins))).withColumn("_e", F.col("residual") * F.col("residual"))
-    )
-    box = rows.groupBy(*keys, "bin", "is_best").agg(*five_numbers("_e"), F.count(F.lit(1)).alias("n_samples"))
-    flags = F.explode(F.array(F.lit(False), F.lit(True)))
-    dense = bounds.withColumn("bin", F.explode(F.sequence(F.lit(1), F.lit(bins)))).withColumn("is_best", flags)
-    return dense.join(box, [*keys, "bin", "is_best"], "left").select(
+
+    def box(rows: DataFrame, by: list[str]) -> DataFrame:
+        rows = rows.filter(inside).withColumn("bin", F.least(level, F.lit(bins))).withColumn("_e", F.col("residual") * F.col("residual"))
+        return rows.groupBy(*by, "bin").agg(*five_numbers("_e"), F.count(F.lit(1)).alias("n_samples"))
+
+    month = _best_rows(residuals, best).groupBy(*board).agg(F.collect_list(F.struct("observed", "residual")).alias("_rows"))
+    ranges = bounds.select(*board, "lo", "hi").distinct().join(month, board).select(*board, "lo", "hi", F.inline("_rows"))
+    levels = bounds.withColumn("bin", F.explode(F.sequence(F.lit(1), F.lit(bins))))
+    own = levels.join(box(residuals.join(bounds, keys), keys), [*keys, "bin"], "left").withColumn("is_best", F.lit(False))
+    top = levels.join(box(ranges, [*board, "lo", "hi"]), [*board, "lo", "hi", "bin"], "left").withColumn("is_best", F.lit(True))
+    return own.unionByName(top).select(
         *keys, "bin", "is_best",
         (F.col("lo") + step * (F.col("bin") - 1)).alias("level_start"), (F.col("lo") + step * F.col("bin")).alias("level_end"),
         "min", "q1", "median", "q3", "max", F.coalesce("n_samples", F.lit(0)).alias("n_samples"),

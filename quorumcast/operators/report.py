@@ -91,7 +91,7 @@ def monthly_report(
     rank_stats = kpi.month_rank_stats(ranks)
     residuals = keep(kpi.q50_residuals(forecasts, measurements), "residuals")
     best = kpi.best_forecaster(leagues)
-    histogram = _histograms(kpi.residual_distribution(residuals, best)).withColumn("track", F.lit("deterministic"))
+    histogram = _histograms(kpi.residual_distribution(residuals, best, keep=keep)).withColumn("track", F.lit("deterministic"))
     boxplot = _boxplots(kpi.mse_by_power_level(residuals, best)).withColumn("track", F.lit("deterministic"))
     paid = participation.select("resource_id", "user_id", "is_fixed_payment")
 
