@@ -43,17 +43,19 @@ cte("measurements_raw", "ev", """SELECT resource_id, date_trunc('hour', ts) AS d
 cte("measurements_4h", "ev", """SELECT resource_id, date_trunc('day', ts) + to_hours(4 * CAST(extract(hour FROM ts) // 4 AS INTEGER)) AS datetime,
   CAST(sum(cents) AS DOUBLE) / (CAST(100 AS DOUBLE) * count(*)) AS value FROM ev GROUP BY 1, 2""")
 cte("fill", "measurements_raw", f"""SELECT resource_id, {rnd('avg(value)', 4)} AS fill_value FROM measurements_raw GROUP BY 1""")
-cte("grid", "fill", """SELECT resource_id, fill_value, unnest(generate_series(TIMESTAMP '2024-01-01 00:00:00',
-  TIMESTAMP '2024-01-30 23:00:00', INTERVAL 1 HOUR)) AS datetime FROM fill""")
+cte("span", "", """SELECT CAST(date_trunc('day', min(ts)) AS TIMESTAMP) AS first_slot, CAST(date_trunc('day', max(ts)) AS TIMESTAMP) + INTERVAL 23 HOUR AS last_slot,
+  CAST(date_trunc('day', max(ts)) AS TIMESTAMP) AS last_day FROM events WHERE value IS NOT NULL""")
+cte("grid", "fill span", """SELECT resource_id, fill_value, unnest(generate_series((SELECT first_slot FROM span),
+  (SELECT last_slot FROM span), INTERVAL 1 HOUR)) AS datetime FROM fill""")
 cte("measurements", "grid measurements_raw", """SELECT g.resource_id, g.datetime, coalesce(m.value, g.fill_value) AS value
   FROM grid g LEFT JOIN measurements_raw m ON m.resource_id = g.resource_id AND m.datetime = g.datetime""")
 cte("resources", "measurements_raw", """SELECT DISTINCT resource_id, 'owner_' || resource_id AS user_id, 'UTC' AS timezone,
   CASE WHEN resource_id LIKE 'click%' THEN 'wind_power' WHEN resource_id LIKE 'view%' THEN 'solar_power' ELSE 'load' END AS use_case,
   resource_id NOT LIKE 'signup%' AS is_active FROM measurements_raw""")
-cte("lagged", "measurements", """SELECT m.resource_id, k.k, 'f' || lpad(CAST(k.k AS VARCHAR), 2, '0') AS user_id,
+cte("lagged", "measurements span", """SELECT m.resource_id, k.k, 'f' || lpad(CAST(k.k AS VARCHAR), 2, '0') AS user_id,
   m.datetime + to_hours(CAST(24 + 3 * k.k AS INTEGER)) AS datetime, m.value AS mid
   FROM measurements m CROSS JOIN (SELECT unnest(generate_series(1, 15)) AS k) k
-  WHERE m.datetime + to_hours(CAST(24 + 3 * k.k AS INTEGER)) <= TIMESTAMP '2024-01-30 23:00:00'""")
+  WHERE m.datetime + to_hours(CAST(24 + 3 * k.k AS INTEGER)) <= (SELECT last_slot FROM span)""")
 _QUANT = """SELECT resource_id, user_id, k, datetime, 'q10' AS variable,
     mid * (CAST(0.4 AS DOUBLE) + CAST(0.02 AS DOUBLE) * k) AS value FROM lagged
   UNION ALL SELECT resource_id, user_id, k, datetime, 'q50', mid FROM lagged
@@ -70,10 +72,10 @@ cte("forecasts_gappy", "quantiles", f"""SELECT resource_id, resource_id || '_' |
 cte("continuous_forecasts", "quantiles", """SELECT user_id, resource_id, datetime, variable, value FROM quantiles
   WHERE k >= 10 AND NOT ((k = 11 AND variable = 'q90' AND extract(day FROM datetime) % 3 = 0)
    OR (k = 12 AND extract(hour FROM datetime) = 5 AND extract(day FROM datetime) % 5 = 0))""")
-cte("challenges", "resources", """SELECT resource_id || '_' || strftime(target_day, '%Y-%m-%d') AS challenge_id,
+cte("challenges", "resources span", """SELECT resource_id || '_' || strftime(target_day, '%Y-%m-%d') AS challenge_id,
   's_' || strftime(target_day, '%Y-%m-%d') AS session_id, resource_id, use_case, target_day,
   CAST(target_day AS TIMESTAMP) AS start_datetime, CAST(target_day AS TIMESTAMP) + INTERVAL 23 HOUR AS end_datetime
-  FROM (SELECT *, CAST(unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30', INTERVAL 1 DAY)) AS DATE) AS target_day
+  FROM (SELECT *, CAST(unnest(generate_series((SELECT first_slot FROM span), (SELECT last_day FROM span), INTERVAL 1 DAY)) AS DATE) AS target_day
         FROM resources)""")
 cte("sessions", "challenges", """SELECT session_id, resource_id,
   CAST(target_day AS TIMESTAMP) - INTERVAL 810 MINUTE AS launch_time FROM challenges""")

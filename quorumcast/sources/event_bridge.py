@@ -10,29 +10,27 @@ All steps after the first aggregate are narrow or keyed by (resource, slot).
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quorumcast.functions.timegrid import day_start, minutes_interval, slot_start, slots_between
 
-FIRST_SLOT = "2024-01-01 00:00:00"
-LAST_SLOT = "2024-01-30 23:00:00"
-LAST_DAY = "2024-01-30"
 USERS_PER_RESOURCE = 50
 FORECASTERS = 15
 SLOT_MINUTES = 60
 
 
-def ntz(text: str) -> Column:
-    return F.lit(text).cast("timestamp_ntz")
-
-
 def challenge_key(resource: Column, day: Column) -> Column:
     return F.concat_ws("_", resource, F.to_date(day).cast("string"))
 
 
 class EventTables:
-    """Lazily built tables over one events folder; no method runs a job."""
+    """Lazily built tables over one events folder.
+
+    The days are those of the events: the first and last are read once, as one row.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
@@ -51,13 +49,25 @@ class EventTables:
             (F.sum("cents").cast("double") / (F.lit(100.0) * F.count("cents"))).alias("value")
         )
 
+    @cached_property
+    def _days(self) -> tuple[Column, Column]:
+        """First and last day of the events, as dates."""
+        ts = F.col("ts").cast("timestamp_ntz")
+        first, last = self.events.agg(F.to_date(F.min(ts)), F.to_date(F.max(ts))).first()
+        return tuple(F.lit(None if d is None else d.isoformat()).cast("date") for d in (first, last))
+
+    def _slots(self) -> tuple[Column, Column]:
+        """First slot of the first day and last hour of the last day."""
+        first, last = self._days
+        return first.cast("timestamp_ntz"), last.cast("timestamp_ntz") + minutes_interval(23 * 60)
+
     def _fill(self, raw: DataFrame) -> DataFrame:
         return raw.groupBy("resource_id").agg(F.round(F.round(F.avg("value"), 9), 4).alias("fill_value"))
 
     def grid(self, minutes: int = SLOT_MINUTES) -> DataFrame:
         return self._fill(self.measurements_raw(minutes)).select(
             "resource_id", "fill_value",
-            F.explode(slots_between(ntz(FIRST_SLOT), ntz(LAST_SLOT), minutes)).alias("datetime"),
+            F.explode(slots_between(*self._slots(), minutes)).alias("datetime"),
         )
 
     def measurements(self) -> DataFrame:
@@ -89,7 +99,7 @@ class EventTables:
             (F.col("datetime") + F.make_dt_interval(F.lit(0), F.lit(24) + F.lit(3) * F.col("k"))).alias("datetime"),
             F.col("value").alias("mid"),
         )
-        return shifted.filter(F.col("datetime") <= ntz(LAST_SLOT)).filter(keep)
+        return shifted.filter(F.col("datetime") <= self._slots()[1]).filter(keep)
 
     @staticmethod
     def _quantiles(df: DataFrame) -> DataFrame:
@@ -132,14 +142,14 @@ class EventTables:
 
     def sessions(self) -> DataFrame:
         """One session a day per resource, launched 10:30 the day before."""
-        days = F.sequence(F.lit(FIRST_SLOT).cast("date"), F.lit(LAST_DAY).cast("date"))
+        days = F.sequence(*self._days)
         return self.resources().select("resource_id", F.explode(days).alias("day")).select(
             F.concat(F.lit("s_"), F.date_format("day", "yyyy-MM-dd")).alias("session_id"), "resource_id",
             (F.col("day").cast("timestamp_ntz") - minutes_interval(13 * 60 + 30)).alias("launch_time"),
         )
 
     def challenges(self) -> DataFrame:
-        days = F.sequence(F.lit(FIRST_SLOT).cast("date"), F.lit(LAST_DAY).cast("date"))
+        days = F.sequence(*self._days)
         day = F.col("target_day")
         return self.resources().withColumn("target_day", F.explode(days)).select(
             challenge_key(F.col("resource_id"), day).alias("challenge_id"),
