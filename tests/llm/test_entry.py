@@ -27,7 +27,7 @@ def test_queries_match_their_sql(spark, name):
     if not os.path.isdir(FOLDER):
         pytest.skip("no test tables")
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
     df = queries.queries()[name](spark, FOLDER)
     want = con.execute(oracles.SQL[name])
