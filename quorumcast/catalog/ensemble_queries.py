@@ -295,6 +295,30 @@ def custom_combine_strategy(t):
     return rounded(st.run_strategies(t.forecasts(), st.Training(), ["midrange"], strategies=known)).drop("strategy")
 
 
+class _Unbiased(st.Strategy):
+    """Learns every series' mean error and takes it off before averaging."""
+
+    def fit_state(self, training):
+        pairs = scoring.align(training.forecasts, training.measurements, "inner")
+        return pairs.groupBy("resource_id", "user_id", "variable").agg(F.avg(F.col("observed") - F.col("forecast")).alias("bias"))
+
+    def predict_block(self, block, state):
+        rows = block.join(state, ["resource_id", "user_id", "variable"], "left")
+        return ens.combine(rows.withColumn("value", F.col("value") + F.coalesce("bias", F.lit(0.0))), F.avg("value"))
+
+
+@query(with_ctes("forecasts measurements", f"""SELECT f.resource_id, f.challenge_id, f.variable, f.datetime, {rnd('greatest(avg(f.value + b.bias), 0)', 6)} AS value FROM forecasts f
+  JOIN (SELECT f.resource_id, f.user_id, f.variable, avg(m.value - f.value) AS bias FROM forecasts f
+    JOIN measurements m ON m.resource_id = f.resource_id AND m.datetime = f.datetime GROUP BY 1, 2, 3) b
+    ON b.resource_id = f.resource_id AND b.user_id = f.user_id AND b.variable = f.variable GROUP BY 1, 2, 3, 4"""))
+def custom_fit_strategy(t):
+    """An own strategy with a fitted state, by name from a registry."""
+    known = st.Registry()
+    known.register("unbiased")(_Unbiased)
+    training = st.Training(t.forecasts(), t.measurements(), keep=stage)
+    return rounded(st.run_strategies(t.forecasts(), training, known.list_strategies(), strategies=known)).drop("strategy")
+
+
 _RUN = [("arithmetic_mean", "avg(value)"), ("median", "median(value)"),
         ("trimmed_mean", "CASE WHEN count(value) >= 3 THEN (sum(value) - min(value) - max(value)) / (count(value) - 2) END")]
 cte("ran", "forecasts", " UNION ALL ".join(
