@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quorumcast.llm.text_arrays import _powers, mix
-from quorumcast.staging import stage
+from quorumcast.staging import join_by_measured_size, stage
 
 #: A form must be this many times as frequent as the word.
 FACTOR = 10
@@ -201,6 +201,7 @@ def group_variants(counts: DataFrame, factor: int = FACTOR) -> DataFrame:
     frequent; its root is where the forms lead.  Each form is more frequent than the word, so forms
     end; a step of the walk is one join with the table of forms, which the shared folder holds.
     """
+    join_by_measured_size(counts.sparkSession)  # staged words unpack to many times their files
     counts = counts.filter("word IS NOT NULL").select("word", "n")
     near = neighbours(counts, "n")
     sides = [F.struct(*[F.col(f"{c}_{x}").alias(c) for c in ("word", "n")]) for x in "ab"]

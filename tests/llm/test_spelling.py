@@ -96,3 +96,21 @@ def test_query_on_the_test_table(spark):
         pytest.skip("no test tables")
     rows = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
     assert sorted(map(tuple, queries.op12_spelling(spark, folder).collect())) == grouped(words_of(map(tuple, rows)))
+
+
+def test_staged_words_are_not_planned_as_broadcasts(spark, tmp_path):
+    """A file of words unpacks to many times its size, which only a measurement shows."""
+    planned, measured = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    before = {k: spark.conf.get(k, None) for k in (planned, measured)}
+    spark.createDataFrame([("reading", 30), ("readimg", 2), ("readings", 3)], "word string, n bigint").write.parquet(f"{tmp_path}/words")
+    try:
+        spark.conf.set(planned, "10485760b")
+        spark.conf.unset(measured)
+        found = spelling.group_variants(spark.read.parquet(f"{tmp_path}/words"))
+        assert "Broadcast" not in found._jdf.queryExecution().sparkPlan().toString()
+        assert spark.conf.get(measured) == "10485760b"
+        assert sorted(tuple(r) for r in found.collect()) == [
+            ("readimg", "reading", "reading", 2, 1, 30), ("reading", None, "reading", 30, 2, None), ("readings", "reading", "reading", 3, 1, 30)]
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
