@@ -46,3 +46,12 @@ def test_first_k_limits_before_the_shuffle(skewed):
     top = first_k(skewed.filter("v is not null"), ["k"], ["v"], 3)
     assert top.filter("k = 'hot'").count() == 3
     assert "WindowGroupLimit" in top._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sizes_are_counted_behind_the_one_exchange(spark):
+    rows = spark.createDataFrame([(f"k{i % 7}", float(i)) for i in range(200)] + [(None, float(i)) for i in range(40)], "k string, v double")
+    out = percentile_by(rows.repartition(3), ["k"], "v", {"p": 0.5}, 28)
+    got = {r.k: r.p for r in out.collect()}
+    assert got == {r.k: r.p for r in rows.groupBy("k").agg(F.percentile("v", F.lit(0.5)).alias("p")).collect()} and None in got
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "LeftAnti" not in plan and "LeftSemi" not in plan and "ReusedExchange" in plan
