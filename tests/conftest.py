@@ -18,3 +18,15 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture(autouse=True)
+def own_caches(monkeypatch):
+    """What a test caches goes with it: a plan that equals it would read the cache in the next test."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    held, cache = [], DataFrame.cache
+    monkeypatch.setattr(DataFrame, "cache", lambda df: held.append(cache(df)) or held[-1])
+    yield
+    for df in held:
+        df.unpersist()

@@ -213,3 +213,22 @@ def test_a_second_scoring_run_finds_nothing_to_do(spark, history, tmp_path):
     want = direct.submission_scores.withColumn("kind", F.lit("submission")).unionByName(direct.ensemble_scores.withColumn("kind", F.lit("ensemble")))
     columns = ["resource_id", "challenge_id", "user_id", "variable", "metric", "value", "kind"]
     assert rows_of(store.scores(), *columns) == rows_of(want.join(scored, "challenge_id", "left_semi"), *columns)
+
+
+def test_series_are_listed_before_the_shuffle(spark, history):
+    plan = profiles.pack(history[1], 30)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Exchange hashpartitioning") < plan.index("partial_collect_list")
+
+
+def test_repeated_slots_are_averaged(spark):
+    rows = [("r", "c", "u", "q50", at(0, h), v) for h, v in ((1, 2.0), (0, None), (1, 4.0), (1, None), (2, None), (2, None))]
+    got = profiles.pack(series(spark, rows, LONG), 60).collect()
+    assert [(p.datetime.hour, p.value) for p in got[0].points] == [(0, None), (1, 3.0), (2, None)] and got[0].n == 1 and len(got) == 1
+
+
+def test_unpacked_slots_are_not_shuffled(spark, history, tmp_path):
+    profiles.pack(history[1], 60).write.parquet(f"{tmp_path}/p")
+    packed = spark.read.parquet(f"{tmp_path}/p")
+    for make in (ensembles.mean_ensemble, ensembles.median_ensemble):
+        plan = make(packed)._jdf.queryExecution().executedPlan().toString()
+        assert "datetime" not in "".join(x.split("),")[0] for x in plan.split("Exchange hashpartitioning(")[1:] if "value" not in x.split("),")[0])
