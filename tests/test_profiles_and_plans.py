@@ -75,6 +75,7 @@ def test_gates_on_profiles_match_gates_on_rows(spark, history):
         assert rows_of(got, "resource_id", "user_id") == rows_of(want, "resource_id", "user_id"), options
     want = gates.complete_quantile_forecasters(df, c, slot_minutes=60)
     assert rows_of(profiles.complete_users(packed, c, slot_minutes=60), "challenge_id", "user_id") == rows_of(want, "challenge_id", "user_id")
+    packed.unpersist()  # a later plan of the same profiles would read, and show, what is cached
 
 
 def test_presence_of_a_long_day(spark):
@@ -231,3 +232,37 @@ def test_unpacked_slots_are_not_shuffled(spark, history, tmp_path):
     packed = spark.read.parquet(f"{tmp_path}/p")
     plan = ensembles.mean_ensemble(packed)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Exchange hashpartitioning(challenge_id" in plan
+
+
+def shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_ensembles_group_packed_profiles_where_they_are(spark, history):
+    rows, df = history
+    shifted = df.withColumn("value", F.col("value") + 1)  # not what another test has cached
+    packed = profiles.pack(shifted, 60)
+    assert shuffles(ensembles.mean_ensemble(packed)) == 1
+    light = ensembles.median_ensemble(packed).filter("challenge_id IS NULL OR value IS NOT NULL")
+    want = ensembles.median_ensemble(shifted)
+    assert rows_of(light, *ensembles.SLOT, "value") == rows_of(want, *ensembles.SLOT, "value")
+
+
+def test_a_block_without_a_key_takes_the_ordinary_path(spark):
+    """Joins on the keys would lose it on the path of huge groups."""
+    rows = [("r", None, f"u{u}", "q50", at(0, h), float(u)) for u in range(5) for h in range(2)]
+    df = series(spark, rows, LONG)
+    for block in (df, profiles.pack(df, 60), df.withColumn("n_forecasters", F.lit(5).cast("bigint"))):
+        got = ensembles.median_ensemble(block, heavy_rows=3)
+        assert [r.value for r in got.collect()] == [2.0, 2.0]
+
+
+def test_the_history_gate_lists_the_times_of_a_day(spark):
+    """One row per series and day is shuffled; on the day of the lookback's edge the times decide."""
+    slots = [("r1", "c", u, "q50", at(d, h), 1.0) for u in ("late", "early") for d in range(3) for h in range(24) if not (u == "early" and d == 0 and h >= 12)]
+    slots = [x for x in slots if x[4] <= at(2, 12)]
+    df = series(spark, slots, LONG)
+    # Two days before the end: from noon of day 0 on, 49 slots of ``late`` and 37 of ``early``.
+    plan = gates.submission_history_gate(df, 2, 2, 24)._jdf.queryExecution().executedPlan().toString()
+    assert "date_trunc(hour" not in plan
+    assert rows_of(gates.submission_history_gate(df, 2, 2, 24), "user_id") == [("late",)]
