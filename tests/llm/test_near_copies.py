@@ -2,10 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
 from quorumcast.llm import near_copies
+from quorumcast.llm.simhash_links import Forest
 
 from .conftest import prose
 
@@ -85,3 +87,41 @@ def test_clashing_columns_keep_their_values(spark):
     got = near_copies.keep_one(df)
     assert got.columns == df.columns
     assert sorted(map(tuple, got.collect()), key=str) == sorted([rows[0], rows[2]], key=str)
+
+
+def test_sets_at_the_limit_share_a_signature_and_are_close():
+    rng, drawn, seen = np.random.default_rng(3), near_copies._drawn(), []
+    for n in (20, 60, 300):
+        for _ in range(100):
+            common = -(-17 * n // 18)  # a Jaccard similarity of about 0.9
+            h = rng.integers(0, 1 << 48, 2 * n - common)
+            a, b = (near_copies.simhash(x) for x in (h[:n], np.concatenate([h[:common], h[n:]])))
+            apart = np.unpackbits(a ^ b)
+            seen.append((apart[drawn].sum(axis=1) == 0).any() and apart[:128].sum() <= near_copies.MOST)
+    assert np.mean(seen) >= 0.99
+    one, other = (near_copies.simhash(rng.integers(0, 1 << 48, 100)) for _ in range(2))
+    assert np.unpackbits(one ^ other)[:128].sum() > near_copies.MOST
+
+
+@pytest.mark.parametrize("small, direct", [(64, 1024), (2, 1024), (2, 4)])
+def test_a_bucket_connects_what_is_close_however_large(monkeypatch, small, direct):
+    monkeypatch.setattr(near_copies, "SMALL", small)
+    monkeypatch.setattr(near_copies, "DIRECT", direct)
+    fps = np.full((9, 2), 1 << 63, np.uint64)
+    fps[3:6, 0] = (1 << 64) - 1  # 63 bits from the others
+    forest = Forest()
+    near_copies._meet(np.repeat([1, 2], [8, 1]), np.arange(9), fps, forest)
+    roots = [forest.root(i) for i in range(9)]
+    assert roots == ([0] * 8 if direct < 8 else [0, 0, 0, 3, 3, 3, 0, 0]) + [8]
+
+
+def test_texts_meet_by_fingerprints_and_have_one_home(spark):
+    """Near copies meet, and the rest of the corpus brings no set of hashes, however much of a passage it shares."""
+    rng = random.Random(11)
+    passage, base = prose(rng, 60), prose(rng, 200).split()
+    texts = [" ".join(base), " ".join(base[:-2]), " ".join([*base[:50], "changed", *base[51:]])]
+    texts += [passage + " " + prose(rng, 120) for _ in range(20)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "row bigint, text string")
+    found = near_copies.homes(near_copies.prefixes(rows, 5)).collect()
+    assert {r.node for r in found} == {near_copies._node(near_copies._words(t)) for t in texts[:3]}
+    assert len(found) == 3 and len({r.home for r in found}) == 1
