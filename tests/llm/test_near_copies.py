@@ -125,3 +125,69 @@ def test_texts_meet_by_fingerprints_and_have_one_home(spark):
     found = near_copies.homes(near_copies.prefixes(rows, 5)).collect()
     assert {r.node for r in found} == {near_copies._node(near_copies._words(t)) for t in texts[:3]}
     assert len(found) == 3 and len({r.home for r in found}) == 1
+
+
+def at_the_limit(rng, n):
+    """Two texts whose sets of shingles have a similarity of 0.8 or little more."""
+    w = prose(rng, n).split()
+    base, other = [f"{x}{i}" for i, x in enumerate(w)], [f"{x}{i}" for i, x in enumerate(w)]
+    tail = 1
+    while 5 * (n - 4 - tail - 1) >= 4 * (n - 4 + tail + 1):
+        tail += 1
+    other[-tail:] = [f"other{rng.random()}" for _ in range(tail)]
+    return " ".join(base), " ".join(other)
+
+
+def test_no_pair_is_missed_where_no_signature_is_shared(spark, monkeypatch):
+    """SimHash finds a pair at the limit in most cases, shingles in all: even if no fingerprints are close."""
+    monkeypatch.setattr(near_copies, "MOST", -1)
+    rng, texts = random.Random(21), []
+    for n in (6, 9, 14, 30, 130, 250, 900):
+        for _ in range(4):
+            texts += at_the_limit(rng, n)
+    texts += [prose(rng, 40) for _ in range(20)]
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    want = [r[0] for r in kept_of_groups(rows)]
+    assert len(want) == len(rows) - 20  # pairs of 2 and 5 shingles cannot be so close without being equal
+    assert [r.doc_id for r in near_copies.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).orderBy("doc_id").collect()] == want
+
+
+def test_sketches_never_rule_out_a_linked_pair():
+    rng = np.random.default_rng(5)
+    for n in (1, 3, 100, 128, 130, 1000):
+        for share in (1.0, 0.95, 8 / 9):
+            common = -(-int(n * share * 9) // 9)
+            h = rng.integers(0, 1 << 48, 3 * n)
+            for m in {n, max(common, 4 * n // 5), 5 * n // 4}:
+                a, b = h[:n], np.concatenate([h[:common], h[n:n + max(0, m - common)]])
+                forest = Forest()
+                near_copies._link_home([1, 2], np.array([len(a), len(b)]), [near_copies.sketch(a), near_copies.sketch(b)], forest)
+                both = len(np.intersect1d(a, b))
+                if 5 * both >= 4 * (len(a) + len(b) - both):
+                    assert forest.root(2) == 1, (n, m, common)
+    a, b = (rng.integers(0, 1 << 48, 200) for _ in range(2))
+    forest = Forest()
+    near_copies._link_home([1, 2], np.array([200, 200]), [near_copies.sketch(a), near_copies.sketch(b)], forest)
+    assert forest.root(2) == 2
+
+
+def test_a_large_group_leaves_few_links_between_signatures(spark):
+    """What met by shingles goes by one number, so the buckets of signatures do not leave a forest each."""
+    rng = random.Random(4)
+    base, texts = prose(rng, 300).split(), []
+    for _ in range(150):
+        w = list(base)
+        w[rng.randrange(300)] = f"new{rng.random()}"
+        texts.append(" ".join(w))
+    rows = spark.createDataFrame(list(enumerate(texts)), "row bigint, text string").repartition(8)
+    known = near_copies.by_shingles(rows, 5)
+    held = {}
+
+    def hold(df, name, **options):
+        held[name] = near_copies.stage(df, name, **options)
+        return held[name]
+
+    found = near_copies.homes(near_copies.prefixes(rows, 5), hold, known)
+    assert found.count() == 150 and found.select("home").distinct().count() == 1
+    assert held["near-met-edges"].count() <= 2 * (known.count() + 150)
