@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -266,3 +267,41 @@ def test_the_history_gate_lists_the_times_of_a_day(spark):
     plan = gates.submission_history_gate(df, 2, 2, 24)._jdf.queryExecution().executedPlan().toString()
     assert "date_trunc(hour" not in plan
     assert rows_of(gates.submission_history_gate(df, 2, 2, 24), "user_id") == [("late",)]
+
+
+def test_losses_of_single_slots_meet_by_days(spark, history):
+    """A profile is sent once a day and not once for each of its chunks, and groups of losses lie where they met."""
+    rows, df = history
+    m = measured(spark, random.Random(2))
+    packed = profiles.pack(df, 60)
+    got = profiles.chunk_losses(packed, m, 60, 60, scoring.observation_loss)
+    want = scoring.series_losses(df, m, 60)
+    tidy = lambda d: rows_of(d.withColumn("loss", F.round("loss", 6)), "resource_id", "user_id", "variable", "datetime", "loss", "n")
+    assert tidy(got) == tidy(want)
+    met = profiles.observed_chunks(m, 1440, 60).count()
+    assert met == len({(r, d) for r in ("r1", "r2") for d in range(12)})
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = profiles.chunk_losses(packed, m, 60, 60, scoring.observation_loss)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "Exchange" not in plan[:plan.index("SortMergeJoin")]
+
+
+def test_outliers_of_profiles_send_no_slots(spark, history):
+    """Behind the one exchange of the rows, distances are taken where the profiles lie."""
+    rows, df = history
+    packed = profiles.pack(df.withColumn("value", F.col("value") + 2), 60)
+    for measure in (outliers.dtw_distance, outliers.euclidean_distance):
+        held = []
+
+        def keep(frame, name):
+            held.append(frame._jdf.queryExecution().executedPlan().toString())
+            return stage(frame, name)
+
+        got = measure(packed, outliers.median_profile(packed), keep)
+        want = measure(df, outliers.median_profile(df), stage)
+        shifted = lambda d: {tuple(r)[:3]: round(r["distance"], 9) for r in d.collect()}
+        assert shifted(got) == shifted(want)
+        assert not re.search(r"hashpartitioning\(challenge_id#\d+, variable#\d+, user_id", held[0])
