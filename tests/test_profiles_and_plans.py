@@ -305,3 +305,18 @@ def test_outliers_of_profiles_send_no_slots(spark, history):
         shifted = lambda d: {tuple(r)[:3]: round(r["distance"], 9) for r in d.collect()}
         assert shifted(got) == shifted(want)
         assert not re.search(r"hashpartitioning\(challenge_id#\d+, variable#\d+, user_id", held[0])
+
+
+def test_an_evaluation_builds_its_ensembles_once(spark, history, monkeypatch):
+    """They are read twice, for the quantiles and for the interval."""
+    from types import SimpleNamespace
+
+    from quorumcast.catalog import score_queries
+
+    rows, df = history
+    m, held = measured(spark, random.Random(2)), []
+    monkeypatch.setattr(score_queries, "stage", lambda d, name: held.append(name) or stage(d, name))
+    got = score_queries.evaluate_strategies(SimpleNamespace(forecasts=lambda: df, measurements=lambda: m))
+    assert held == ["ensembles"]
+    assert rows_of(got.select("strategy", "variable").distinct(), "strategy", "variable") == [
+        (s, v) for s in ("arithmetic_mean", "median") for v in ("interval", "q10", "q50", "q90")]
